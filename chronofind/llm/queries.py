@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import topk, url_filter
+from . import language_id, mixing, topk, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": language_id.op1_language_id,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op8_mixing": mixing.op8_mixing,
     "op10_topk": topk.op10_topk,
 }
 
