@@ -161,7 +161,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_words: int
     cut = placed.withColumn("_block", F.explode_outer(blocks_of))
     words = F.least(end, (F.col("_block") + 1) * size) - F.greatest(F.col("_start"), F.col("_block") * size)
     cut = cut.withColumn("_words", words).select("doc_id", "source", "size", "source_size", "target", "_s", "_bucket", "_n", "_block", "_words")
-    joined = cut.join(slots, ["_s", "_block"], "left")
+    # the slots are as many as the blocks, which Spark cannot know when it plans: no broadcast
+    joined = cut.join(slots.hint("merge"), ["_s", "_block"], "left")
     taken = F.coalesce(F.sum(F.col("_words") * F.coalesce("_times", F.lit(0))), F.lit(0)).cast("long")
     return joined.groupBy("_s", "_bucket", "_n", "doc_id", "source", "size", "source_size", "target").agg(taken.alias("taken")).drop("_s", "_bucket", "_n")
 
