@@ -117,9 +117,9 @@ def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = _found(base_spans(rows, F.col("_t"), True), "_c", CANDIDATE, None, True)
     every = "concat(_base, transform(_c, x -> struct(x.s, cast(null as int) as k, x.e, x.m, x.l2, x.l1, x.r1)))"
     flat = stored(rows.filter("size(_base) + size(_c) > 0").select("key", F.expr(every).alias("x")).select("key", F.inline("x")))
-    base_first = "partition by key order by s, e rows between"
-    flat = flat.withColumn("_ended", F.expr(f"max(if(k is null, null, e)) over ({base_first} unbounded preceding and 1 preceding)"))
-    flat = flat.withColumn("_next", F.expr(f"min(if(k is null, null, s)) over ({base_first} 1 following and unbounded following)"))
+    # both windows grow from their start: a frame up to the last row would be summed anew for each row
+    flat = flat.withColumn("_ended", F.expr("max(if(k is null, null, e)) over (partition by key order by s, e rows between unbounded preceding and 1 preceding)"))
+    flat = flat.withColumn("_next", F.expr("min(if(k is null, null, s)) over (partition by key order by s desc, e desc rows between unbounded preceding and 1 preceding)"))
     return flat.filter("k is not null or (coalesce(_ended, -1) <= s and coalesce(_next, e) >= e)").select("key", "s", "e", "k", F.lower("m").alias("value"), "l2", "l1", "r1")
 
 
