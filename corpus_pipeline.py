@@ -31,13 +31,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that of the smallest id; of repeated rows of it, one.
+    """Keeps one document of each group of near copies, that of the smallest id; of equal rows of it, one.
 
-    A group whose ids are all null keeps one row. Which rows stay is decided on ids and fingerprints alone; the
-    texts meet the kept ids in one join."""
+    Rows that share an id with the kept one but differ in text stay, and so do rows of null ids in groups without
+    any other. The texts meet the kept ids in one join."""
     found = simhash.near_duplicates(docs)
     kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
