@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once per row: inside a lambda a column expression would be worked out anew
+    for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 HEAD = 99_999_999
 ALL = 0
 _UNITS = (("b", " bytes", 0), ("k", " kb", 10), ("m", " mb", 20), ("z", " gb", 30))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from chronofind.functions.analyzer import upper
-from chronofind.functions.scalars import html_encode
+from chronofind.functions.scalars import html_encode, let
 from chronofind.plans.compiler import content_words
 from chronofind.plans.parser import Group
 
@@ -48,20 +48,25 @@ class LineHighlight(Highlighter):
         self.best, self.around = best, around
 
     def fragments(self, content: Column) -> Column:
-        lines = F.split(F.coalesce(content, F.lit("")), r"\r\n|\r|\n", -1)
+        return let(F.split(F.coalesce(content, F.lit("")), r"\r\n|\r|\n", -1), self._of_lines)
+
+    def _of_lines(self, lines: Column) -> Column:
         scored = F.filter(F.transform(lines, lambda x, i: F.struct((-self.score(x)).alias("s"), i.alias("i"))), lambda x: x.s < 0)
         top = F.slice(F.array_sort(scored), 1, self.best)
         n = F.size(lines)
         near = F.flatten(F.transform(top, lambda x: F.sequence(F.greatest(F.lit(0), x.i - self.around), F.least(n - 1, x.i + self.around))))
-        numbers = F.array_sort(F.array_distinct(near))
-        digits = F.length(F.element_at(F.transform(F.slice(F.reverse(numbers), 1, 1), lambda i: (i + 1).cast("string")), 1))
 
-        def shown(i: Column, k: Column) -> Column:
-            gap = F.when((k > 0) & (F.get(numbers, k - 1) != i - 1), F.lit(" .. ")).otherwise(F.lit(""))
-            label = F.concat(F.lit("L"), F.lpad((i + 1).cast("string"), digits, "0"), F.lit(": "))
-            return F.concat(gap, F.lit("<span>"), label, F.lit("</span>"), self.marked(F.get(lines, i)))
+        def shown(numbers: Column) -> Column:
+            digits = F.length((F.array_max(numbers) + 1).cast("string"))
+
+            def line(i: Column, k: Column) -> Column:
+                gap = F.when((k > 0) & (F.get(numbers, k - 1) != i - 1), F.lit(" .. ")).otherwise(F.lit(""))
+                label = F.concat(F.lit("<span>L"), F.lpad((i + 1).cast("string"), digits, F.lit("0")), F.lit(": </span>"))
+                return F.concat(gap, label, self.marked(F.get(lines, i)))
 
-        return F.when(F.size(top) > 0, F.array_join(F.transform(numbers, shown), "\n")).otherwise(F.lit(""))
+            return F.array_join(F.transform(numbers, line), "\n")
+
+        return let(F.array_sort(F.array_distinct(near)), shown)
 
 
 class SimpleHighlight(Highlighter):
@@ -74,6 +79,9 @@ class SimpleHighlight(Highlighter):
     def fragments(self, content: Column) -> Column:
         text = F.coalesce(content, F.lit(""))
         pieces = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{self.length}}}(?![\p{{L}}\p{{Nd}}_])|(?s).{{1,{self.length}}}"), 0)
+        return let(pieces, self._of_pieces)
+
+    def _of_pieces(self, pieces: Column) -> Column:
         scored = F.filter(F.transform(pieces, lambda x, i: F.struct((-self.score(x)).alias("s"), i.alias("i"))), lambda x: x.s < 0)
         top = F.array_sort(F.transform(F.slice(F.array_sort(scored), 1, self.best), lambda x: x.i))
         return F.array_join(F.transform(top, lambda i: self.marked(F.get(pieces, i))), self.separator)

@@ -11,12 +11,11 @@ from chronofind.plans.compiler import tokens_of
 
 
 def postings(items: DataFrame, fields: tuple[str, ...] = ("content", "path", "message", "externals")) -> DataFrame:
-    """(field, term, id, tf, positions): positions in order. Terms are grouped inside their item, so nothing is shuffled."""
+    """(field, term, id, tf, positions): positions in order. Terms are grouped inside their item, before anything is shuffled."""
     parts = []
     for f in fields:
-        tokens = tokens_of(f)
-        placed = items.select("id", F.posexplode(F.array_sort(F.zip_with(tokens, F.sequence(F.lit(0), F.size(tokens)), lambda t, p: F.struct(t.alias("t"), p.alias("p"))))).alias("i", "x")).filter("x.t is not null")
-        parts.append(placed.groupBy(F.lit(f).alias("field"), F.col("x.t").alias("term"), "id").agg(F.sort_array(F.collect_list("x.p")).alias("positions")))
+        placed = items.select("id", F.posexplode(tokens_of(f)).alias("pos", "term"))
+        parts.append(placed.groupBy(F.lit(f).alias("field"), "term", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions")))
     every = reduce(lambda a, b: a.unionByName(b), parts)
     return every.select("field", "term", "id", F.size("positions").alias("tf"), "positions")
 
@@ -36,7 +35,7 @@ def ranked(items: DataFrame, terms: list[str], field: str = "content") -> DataFr
     total = F.lit(0.0)
     scored = items.crossJoin(F.broadcast(counts))  # one row of counts
     for i, t in enumerate(terms):
-        tf = F.size(F.filter(tokens, lambda x, t=t: x == t))
+        tf = F.size(tokens) - F.size(F.array_remove(tokens, t))
         idf = 1 + F.ln(F.col("n") / (F.col(f"df{i}") + 1))
         total = total + F.sqrt(tf) * idf * idf
     scored = scored.withColumn("score", total / F.sqrt(F.size(tokens)))

@@ -14,6 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chronofind.functions.scalars import let
 from chronofind.operators import spans
 
 from .parser import Group, Leaf
@@ -82,9 +83,12 @@ class Compiler:
         if phrase.gap == 0 and all(isinstance(c, Term) for c in phrase.children):
             n = len(phrase.children)
             tests = [self.test(field, c, i == 0, i == n - 1) for i, c in enumerate(phrase.children)]
-            places = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n))
-            found = F.exists(places, lambda p: reduce(and_, [t(F.get(tokens, p + i)) for i, t in enumerate(tests)]))
-            return lookups & F.coalesce(found, F.lit(False))
+
+            def found(x: Column) -> Column:
+                places = F.when(F.size(x) >= n, F.sequence(F.lit(0), F.size(x) - n))
+                return F.exists(places, lambda p: reduce(and_, [t(F.get(x, p + i)) for i, t in enumerate(tests)]))
+
+            return lookups & F.coalesce(let(tokens, found), F.lit(False))
         find = self.spans(field, phrase, True, True)
 
         @F.pandas_udf("boolean")
