@@ -82,8 +82,8 @@ class Store:
         folders = sorted(set(folders))
         if not folders:
             return None
-        # a bucket may hold no row that is left, so its folder may be missing
-        return self.spark.read.option("basePath", self.root).parquet(*[f"{self.root}/{f}" for f in folders])
+        # the folders are listed one by one; their names are no partitions
+        return self.spark.read.option("recursiveFileLookup", True).parquet(*[f"{self.root}/{f}" for f in folders])
 
     def live(self, buckets: list[int] | None = None) -> DataFrame | None:
         m = self.manifest()["live"]
