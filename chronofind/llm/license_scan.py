@@ -117,7 +117,7 @@ RULES = (
 )
 
 #: Every known sentence holds one of these; texts without any are not cut up.
-TRIGGER = re.compile(r"licen[sc]e|copyright|software|public domain|rights reserved|redistribut|permission", re.IGNORECASE)
+TRIGGER = re.compile(r"licen[sc]e|copyright|software|public domain|rights reserved|redistribut|permission|warrant", re.IGNORECASE)
 
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 _SENTENCE = re.compile(r"(?<=[.;:!?])\s+")
