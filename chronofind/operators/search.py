@@ -42,6 +42,11 @@ def parse_range(text: str) -> tuple[int, int]:
     return numbers[0], numbers[-1]
 
 
+def from_url(parameters: dict[str, str]) -> tuple[str, int, int]:
+    """(query, first, last) of a search address: parameters q, f and l; both revisions are head unless they are given."""
+    return parameters.get("q", ""), int(parameters.get("f", HEAD)), int(parameters.get("l", HEAD))
+
+
 class Index:
     """A DataFrame of analysed items that can be asked."""
 
@@ -51,9 +56,8 @@ class Index:
 
     def count_terms(self, field: str, expressions: list[str]) -> int:
         """Different terms of a field that match, over the whole index."""
-        t = F.col("t")
-        match = t.rlike("(?s)" + "|".join(expressions))
-        return self.items.select(F.explode(F.filter(F.array_distinct(tokens_of(field)), lambda x: x.rlike("(?s)" + "|".join(expressions)))).alias("t")).filter(match).agg(F.count_distinct("t")).first()[0]
+        found = F.filter(F.array_distinct(tokens_of(field)), lambda t: t.rlike("(?s)" + "|".join(expressions)))
+        return self.items.select(F.explode(found).alias("t")).agg(F.count_distinct("t")).first()[0]
 
     def query(self, text: str, first: int = HEAD, last: int | None = None, normalised: bool = False) -> DataFrame:
         """The items that a query finds. normalised: the query is trimmed, lower-cased and gets forward slashes first."""

@@ -141,3 +141,18 @@ class Store:
         closed.repartitionByRange("path").sortWithinPartitions("path", "rev_first").write.option("maxRecordsPerFile", file_rows).parquet(f"{self.root}/{folder}")
         m["closed"] = [folder]
         self._put(m)
+
+
+def open_stores(spark: SparkSession, paths: list[str]) -> list[Store]:
+    """The stores among the paths, each tried as it is and with `/index`; what can't be opened is passed over."""
+    out = []
+    for path in paths:
+        for place in (path, f"{path.rstrip('/')}/index"):
+            try:
+                store = Store(spark, place)
+                if store.exists():
+                    out.append(store)
+                    break
+            except Exception:  # an index list may name places that are gone
+                continue
+    return out

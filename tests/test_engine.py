@@ -13,7 +13,7 @@ from chronofind.functions import scalars as S
 from chronofind.operators import highlight, history
 from chronofind.operators.items import from_properties, indexable
 from chronofind.plans.parser import parse
-from chronofind.sources.store import Store
+from chronofind.sources.store import Store, open_stores
 from chronofind.streaming import updates
 
 SF = "/root/testdata/sf0.001"
@@ -76,6 +76,7 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert items.filter("kind = 'revision'").count() == 6 and store.properties()["revision"] == 7
     store.compact()
     store.set_properties(repository_name="x")
+    assert [s.root for s in open_stores(spark, [str(tmp_path), str(tmp_path / "none")])] == [store.root]
     assert store.items().count() == items.count() and store.properties()["repository_name"] == "x"
 
 
