@@ -106,6 +106,13 @@ class Store:
     def upsert(self, items: DataFrame, properties: dict | None = None) -> None:
         """Puts items in, each taking the place of the live one of its id; the ids of closed ones are gone from the live part.
         With single_revision set, closed versions are dropped instead of kept."""
+        items = items.persist()  # it is read for the buckets, for their live items and for the closed ones
+        try:
+            self._upsert(items, properties)
+        finally:
+            items.unpersist()
+
+    def _upsert(self, items: DataFrame, properties: dict | None) -> None:
         m = self.manifest()
         single = (m["properties"] | (properties or {})).get("single_revision", False)
         touched = self.touched(items)
