@@ -40,8 +40,13 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What a text must hold for its pattern to be tried.
-NEEDS = {"email": "@", "ip": None, "card": None, "phone": "+"}
+#: What a text must hold for its pattern to be tried, as SQL.
+NEEDS = {
+    "email": "contains(_text, '@')",
+    "ip": r"_text rlike '[0-9]\\.[0-9]'",
+    "card": "_text rlike '[0-9]'",
+    "phone": "contains(_text, '+')",
+}
 #: Identifier-like tokens: up to eight letters, a digit, and at least five more characters.
 CANDIDATE = r"(?<![^\s])[A-Za-z#(]{0,8}[0-9][A-Za-z0-9@._:/()-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@_])"
 
@@ -78,30 +83,23 @@ def _before(units: str) -> str:
     return f"flatten(transform({zipped}, x -> slice({inner}, 1, size(x.block))))"
 
 
-def _found(rows: DataFrame, name: str, pattern: str, needs: str | None, context: bool) -> DataFrame:
-    """rows with a column `name`: array of (s, e, m and, with context, l2, l1, r1) of the pattern's matches in column _text."""
-    hit = F.expr(f"_text rlike '[0-9]'") if needs is None else F.expr(f"contains(_text, '{needs}')")
-    rows = rows.withColumn("_m", F.when(hit, F.regexp_extract_all("_text", F.lit(pattern), 0)))
+def _found(rows: DataFrame, name: str, pattern: str, needs: str) -> DataFrame:
+    """rows with a column `name`: array of (s, e, m) of the pattern's matches in column _text; needs: a quick condition on texts."""
+    rows = rows.withColumn("_m", F.when(F.expr(needs), F.regexp_extract_all("_text", F.lit(pattern), 0)))
     rows = rows.withColumn("_p", F.when(F.size("_m") > 0, F.split("_text", pattern, -1)))
     rows = rows.withColumn("_u", F.expr("zip_with(slice(_p, 1, size(_m)), _m, (p, m) -> length(p) + length(m))"))
     rows = rows.withColumn("_b", F.when(F.size("_m") > 0, F.expr(_before("_u"))))
-    fields = "_b[i] + length(_p[i]) as s, _b[i] + _u[i] as e, _m[i] as m"
-    if context:
-        tail, head = "right(_p[i], 120)", "left(_p[i + 1], 60)"
-        fields += rf", lower(regexp_extract({tail}, '(\\S+)\\s+\\S+\\s*$', 1)) as l2, lower(regexp_extract({tail}, '(\\S+)\\s*$', 1)) as l1, lower(regexp_extract({head}, '^\\s*(\\S+)', 1)) as r1"
-    spans = f"transform(sequence(0, size(_m) - 1), i -> struct({fields}))"
-    empty = f"cast(array() as array<struct<s: int, e: int, m: string{', l2: string, l1: string, r1: string' if context else ''}>>)"
-    return rows.withColumn(name, F.expr(f"if(size(_m) > 0, {spans}, {empty})")).drop("_m", "_p", "_u", "_b")
+    spans = "transform(sequence(0, size(_m) - 1), i -> struct(_b[i] + length(_p[i]) as s, _b[i] + _u[i] as e, _m[i] as m))"
+    return rows.withColumn(name, F.expr(f"if(size(_m) > 0, {spans}, cast(array() as array<struct<s: int, e: int, m: string>>))")).drop("_m", "_p", "_u", "_b")
 
 
-def base_spans(docs: DataFrame, text: Column, context: bool) -> DataFrame:
-    """docs with an array column `_base` of (s, k, e, and m and the words around it if context): start, kind number, end."""
+def base_spans(docs: DataFrame, text: Column) -> DataFrame:
+    """docs with an array column `_base` of (s, k, e), start, kind number, end, and the text as `_text`."""
     rows = docs.withColumn("_text", F.coalesce(text, F.lit("")))
     for i, kind in enumerate(KINDS):
-        rows = _found(rows, f"_x{i}", PATTERNS[kind], NEEDS[kind], context)
-        more = ", x.m, x.l2, x.l1, x.r1" if context else ""
+        rows = _found(rows, f"_x{i}", PATTERNS[kind], NEEDS[kind])
         keep = f"filter(_x{i}, x -> {_valid(kind).replace('m rlike', 'x.m rlike').replace('regexp_replace(m,', 'regexp_replace(x.m,')})"
-        rows = rows.withColumn(f"_x{i}", F.expr(f"transform({keep}, x -> struct(x.s, {i} as k, x.e{more}))"))
+        rows = rows.withColumn(f"_x{i}", F.expr(f"transform({keep}, x -> struct(x.s, {i} as k, x.e))"))
     rows = rows.withColumn("_base", F.expr("array_sort(concat(" + ", ".join(f"_x{i}" for i in range(len(KINDS))) + "))"))
     return rows.drop(*[f"_x{i}" for i in range(len(KINDS))])
 
@@ -111,23 +109,39 @@ def _key(id_col: Column, text: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))), 256)
 
 
-def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, _key, base, seen), one row per row of docs: the base spans, and all base entities and (with k null)
+    candidates with the words around them. The one pass over the texts that mining needs."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), _key(F.col(id_col), F.col(text_col)).alias("_key"))
+    rows = _found(base_spans(rows, F.col("_t")), "_c", CANDIDATE, "_text rlike '[0-9]'")
+    # what is before is turned round, so that its last words are found from the start
+    before = "reverse(substring(_text, greatest(x.s - 119, 1), least(x.s, 120)))"
+    after = "substring(_text, x.e + 1, 60)"
+    around = [
+        rf"lower(reverse(regexp_extract({before}, '^\\s*\\S+\\s+(\\S+)', 1))) as l2",
+        rf"lower(reverse(regexp_extract({before}, '^\\s*(\\S+)', 1))) as l1",
+        rf"lower(regexp_extract({after}, '^\\s*(\\S+)', 1)) as r1",
+    ]
+    value = "lower(substring(_text, x.s + 1, x.e - x.s)) as value"
+    every = "concat(_base, transform(_c, x -> struct(x.s, cast(null as int) as k, x.e)))"
+    rows = rows.withColumn("seen", F.expr(f"transform({every}, x -> struct(x.s, x.k, x.e, {value}, {', '.join(around)}))"))
+    return rows.select("id", "_key", F.col("_base").alias("base"), "seen")
+
+
+def mentions(scanned: DataFrame) -> DataFrame:
     """(key, s, e, k, value, l2, l1, r1): all base entities and, with k null, the candidates that overlap none."""
-    rows = docs.select(F.col(text_col).alias("_t"), _key(F.col(id_col), F.col(text_col)).alias("key"))
-    rows = _found(base_spans(rows, F.col("_t"), True), "_c", CANDIDATE, None, True)
-    every = "concat(_base, transform(_c, x -> struct(x.s, cast(null as int) as k, x.e, x.m, x.l2, x.l1, x.r1)))"
-    flat = stored(rows.filter("size(_base) + size(_c) > 0").select("key", F.expr(every).alias("x")).select("key", F.inline("x")))
+    flat = scanned.filter("size(seen) > 0").select(F.col("_key").alias("key"), F.inline("seen"))
     # both windows grow from their start: a frame up to the last row would be summed anew for each row
     flat = flat.withColumn("_ended", F.expr("max(if(k is null, null, e)) over (partition by key order by s, e rows between unbounded preceding and 1 preceding)"))
     flat = flat.withColumn("_next", F.expr("min(if(k is null, null, s)) over (partition by key order by s desc, e desc rows between unbounded preceding and 1 preceding)"))
-    return flat.filter("k is not null or (coalesce(_ended, -1) <= s and coalesce(_next, e) >= e)").select("key", "s", "e", "k", F.lower("m").alias("value"), "l2", "l1", "r1")
+    return flat.filter("k is not null or (coalesce(_ended, -1) <= s and coalesce(_next, e) >= e)").select("key", "s", "e", "k", "value", "l2", "l1", "r1")
 
 
-def discover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
+def discover(scanned: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(key, found): further entities of a row, as an array of (s, k, e)."""
     two = F.when((F.col("l1") != "") & (F.col("l2") != ""), F.concat(F.lit("2 "), "l2", F.lit(" "), "l1"))
     around = F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("1 "), "l1", F.lit(" _ "), "r1"))
-    seen = stored(mentions(docs, id_col, text_col).select("key", "s", "e", "k", "value", F.explode(F.array_compact(F.array(two, around))).alias("pattern")))
+    seen = stored(mentions(scanned).select("key", "s", "e", "k", "value", F.explode(F.array_compact(F.array(two, around))).alias("pattern")))
     edges = seen.select("pattern", "value", "k").distinct()
     seeded = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("k") == i, 1)).alias(f"n{i}") for i in range(len(KINDS))])
     kinds = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("seeds")) for i in range(len(KINDS))])
@@ -149,14 +163,18 @@ def discover(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return stored(hits.groupBy("key").agg(F.collect_list("span").alias("found")))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with the array columns `base` and `spans` of (s, k, e): start, number in KINDS, end."""
-    found = discover(docs, id_col, text_col, **options)
-    rows = base_spans(docs, F.col(text_col), False).withColumn("_key", _key(F.col(id_col), F.col(text_col))).drop("_text")
-    rows = rows.withColumnRenamed("_base", "base")
+def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows (with _key and base) with a column `spans`: the base and the discovered ones."""
     if not found.limit(1).count():
         return rows.withColumn("spans", F.col("base")).drop("_key")
-    return rows.join(found.withColumnRenamed("key", "_key"), "_key", "left").withColumn("spans", F.expr("array_sort(concat(base, coalesce(found, array())))")).drop("_key", "found")
+    rows = rows.join(found.withColumnRenamed("key", "_key"), "_key", "left")
+    return rows.withColumn("spans", F.expr("array_sort(concat(base, coalesce(found, array())))")).drop("_key", "found")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, base, spans), one row per row of docs; arrays of (s, k, e): start, number in KINDS, end."""
+    scanned = stored(scan(docs, id_col, text_col))
+    return _joined(scanned.select("id", "_key", "base"), discover(scanned, **options)).withColumnRenamed("id", id_col)
 
 
 def _listed(spans: str) -> str:
@@ -167,13 +185,15 @@ def _listed(spans: str) -> str:
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with every span of the text replaced by its kind in square brackets; overlapping spans are replaced together, under the first's kind."""
     names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    rows = find(docs, id_col, text_col, **options)
+    found = discover(stored(scan(docs, id_col, text_col)), **options)
+    rows = base_spans(docs, F.col(text_col)).drop("_text").withColumnRenamed("_base", "base")
+    rows = _joined(rows.withColumn("_key", _key(F.col(id_col), F.col(text_col))), found)
     step = f"if(x.s < acc.at, struct(acc.out as out, greatest(acc.at, x.e) as at), struct(concat(acc.out, substring(`{text_col}`, acc.at + 1, x.s - acc.at), {names}[x.k]) as out, x.e as at))"
     done = f"aggregate(spans, struct('' as out, 0 as at), (acc, x) -> {step}, acc -> concat(acc.out, substring(`{text_col}`, acc.at + 1)))"
     return rows.withColumn(text_col, F.expr(f"if(size(spans) > 0, {done}, `{text_col}`)")).select(docs.columns)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = find(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(F.expr(_listed("base")), 256).alias("base_sha256"), F.expr(_listed("spans")).alias("spans"))
