@@ -14,7 +14,7 @@ from chronofind.llm import decontamination, language_id, mixing, pii, simhash
 from chronofind.llm.common import discard, stored, table
 
 #: A text whose n-grams are this far from every profile is in none of the languages.
-MIN_LANGUAGE_SCORE = 0.15
+MIN_LANGUAGE_SCORE = 0.05
 
 
 def _fresh(docs: DataFrame, name: str) -> str:
