@@ -24,7 +24,7 @@ CORPUS = [
     ("/woanders/flip.cs", "cat and dog", ""),
     ("/woanders/FileIO/hier/und/dort/fileio.cpp", "elefant, cat, dog, mice, rabbit, hedgehog and", "-r4000 /bla/bli localbli"),
     ("/woanders/FileIO/hier/und/dort/fileio.h", "Elefant Katze Maus Hase Igel", "-r5000 ^/products/internal internal"),
-    ("/selt.sam/source/form1.design.cs", "Der Elefant sitzt auf dem Trommelklo", "svn://svnquery.tigris.org/one/two/three localfolder"),
+    ("/selt.sam/source/form1.design.cs", "Der Elefant sitzt auf dem Trommelklo", "svn://depot.example.org/one/two/three localfolder"),
     ("/woanders/", "", "/shared shared"),
     ("/project/import/", "", "/Shared/General general\r\n  /woanders woanders"),
     ("/project_zwei/import/", "", "/Shared/Animals animals"),
@@ -58,7 +58,7 @@ def ask(index, text, first=HEAD, last=None):
         ("p:/shared/", [1, 2, 3, 4, 5, 6, 7]), ("p:.cs", [0, 14, 17]), ("p:cs", [0, 14, 17]), ("p:*.cs", [0, 14, 17]), ("p:flip/", [5]),
         ("p:FileIO/**/fileio.cpp", [1, 8, 15]), ("p:/woanders/FileIO/**/fileio.*", [15, 16]), ("p:shared/**/fileio", list(range(1, 12))),
         ("p:/shared/general/FileIO/*.xml", [4]), ("p:selt.sam/source/form1.design.cs", [17]), ('p:""', []),
-        ("x:/shared/general", [19]), ("x:/shared", [18, 19, 20]), ("x:/woanders", [19]), ('x:"localfolder"', [17]), ('x:"svn://svnquery.tigris.org"', [17]),
+        ("x:/shared/general", [19]), ("x:/shared", [18, 19, 20]), ("x:/woanders", [19]), ('x:"localfolder"', [17]), ('x:"svn://depot.example.org"', [17]),
         ('x:"-r5000"', [16]), ('x:"-r*"', [15, 16]), ("x:products/internal", [16]), ("p:deleted.cpp", []),
         ('c:"cc dd ** dd cc"', [3]), ('c:"dd ee * ee"', [3]), ("-cat", []), ("()", []),
     ],
