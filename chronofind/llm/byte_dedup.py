@@ -7,7 +7,7 @@ before the rows and moves each row along its shard's last-to-first mapping, so t
 characters rows stand in the order of their first h characters. A border between rows that appears
 at step h says that their common prefix is shorter than h, so the borders that are there after
 `length` characters delimit the repeated intervals; no suffix is sorted again. (Two characters go
-in one step.) The smallest document of an interval is the one that keeps the string.
+in one step, and rows that share their characters with no other are not moved on.) The smallest document of an interval is the one that keeps the string.
 
 To spread this over a cluster, and to keep out the bulk of the text, which is not repeated, strings
 meet in buckets. Each string of `length` bytes is named by the smallest hash of the 16-byte windows in
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .shards import LAST, SENT, Shard, answered, bucket_of, mix, received, runs, send, sharded, sliding_min, where_in
+from .shards import SENT, Shard, answered, bucket_of, mix, received, runs, send, sharded, sliding_min, where_in
 
 LENGTH = 50
 NAME = 16
@@ -124,77 +124,72 @@ def _cut(length: int, buckets: int):
 class Transform:
     """The Burrows-Wheeler transform of a collection of strings.
 
-    Rows are the suffixes in the order of their first `depth` characters at least. `back2` is the row
-    of the suffix two characters longer (-1: none), `pair` those two characters as one number; `place`
-    is where the row's suffix starts in the collection's text. Rows of suffixes of one and two
-    characters have no row that leads to them: `short` lists them with their pairs."""
+    Rows are the suffixes in order of their first `depth` bytes. `place` is where a row's suffix starts in the
+    collection's text, `left` its length, `back2` the row of the suffix two characters longer (-1: none), which
+    is two last-to-first steps, and `head` the first two characters of the row as one number."""
 
     def __init__(self, text: np.ndarray, lengths: np.ndarray, depth: int):
         n = text.size
         ends = np.cumsum(lengths)
-        sym = text.astype(np.uint16) + np.uint16(1)
         left = np.repeat(ends, lengths) - np.arange(n)
         # order by eight characters at a time; only what still ties is looked at again
         padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
         word = np.ndarray((n + depth,), ">u8", padded.tobytes(), strides=(1,))
-        order = np.arange(n)
-        group = np.zeros(n, np.int64)
-        open_ = np.arange(n)
-        for at in range(0, depth, 8):
-            some = order[open_]
-            have = np.clip(left[some] - at, 0, 8)
+
+        def eight(rows: np.ndarray, at: int) -> np.ndarray:
+            have = np.clip(left[rows] - at, 0, 8)
             mask = np.where(have > 0, np.uint64(0xFFFFFFFFFFFFFFFF) << ((8 - have) * 8).astype(np.uint64), np.uint64(0))
-            key = word[some + at].astype(np.uint64) & mask
-            by = np.lexsort((have, key, group[open_]))
-            some, key, have, g = some[by], key[by], have[by], group[open_][by]
-            order[open_] = some
-            new = np.ones(some.size, bool)
-            new[1:] = (key[1:] != key[:-1]) | (g[1:] != g[:-1]) | (have[1:] != have[:-1])
+            return word[rows + at].astype(np.uint64) & mask
+
+        key = eight(np.arange(n), 0)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        group, open_ = np.zeros(n, np.int64), np.arange(n)
+        for at in range(8, depth + 8, 8):
+            new = np.ones(key.size, bool)
+            new[1:] = (key[1:] != key[:-1]) | (group[open_][1:] != group[open_][:-1])
             group[open_] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
-            alone = new & np.append(new[1:], True)
-            open_ = open_[~alone]
-            if not open_.size:
+            open_ = open_[~(new & np.append(new[1:], True))]
+            if not open_.size or at >= depth:
                 break
-        self.place = order
+            some = order[open_]
+            key = eight(some, at)
+            by = np.lexsort((key, group[open_]))
+            order[open_], key = some[by], key[by]
+        self.n, self.place, self.left = n, order, left[order]
         row = np.empty(n, np.int64)
         row[order] = np.arange(n)
         start = np.repeat(ends - lengths, lengths)
-        two = order - start[order] >= 2
-        self.back2 = np.where(two, row[np.maximum(order - 2, 0)], -1)
-        self.pair = np.where(two, sym[np.maximum(order - 2, 0)].astype(np.int64) * 257 + sym[np.maximum(order - 1, 0)], 0)
-        last = ends - 1
-        self.short = np.concatenate([row[last], row[last - 1]])
-        self.short_pair = np.concatenate([sym[last].astype(np.int64) * 257, sym[last - 1].astype(np.int64) * 257 + sym[last]])
-        self.n = n
+        self.back2 = np.where(order - start[order] >= 2, row[np.maximum(order - 2, 0)], -1)
+        self.head = text[order].astype(np.int32) * 256 + padded[order + 1]
 
 
 def interleave(parts: list[Transform], length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Merges transforms. Yields (rows, interval numbers) after every two characters: the merged order of the
-    concatenated rows by that many characters, and for each the number of the interval of equal ones."""
+    """Merges transforms. Yields (rows, interval numbers) after every two characters: of the concatenated rows that have
+    that many, those that share them with another row, in merged order, and the number of the interval of equal ones.
+
+    A row that is alone in its interval is alone with every character more, and so is the row it moves to: it has
+    its place in the interleave and is not carried on."""
     shift = np.cumsum([0, *(p.n for p in parts)])
-    back2 = np.concatenate([np.where(p.back2 >= 0, p.back2 + s, -1) for p, s in zip(parts, shift, strict=False)])
-    pair = np.concatenate([p.pair for p in parts])
-    short = np.concatenate([p.short + s for p, s in zip(parts, shift, strict=False)])
-    short_pair = np.concatenate([p.short_pair for p in parts])
-    # pairs by rank, so that they fit 16 bits and sort by counting
-    ranks = np.unique(np.concatenate([pair, short_pair]))
-    kind = np.uint16 if ranks.size < 1 << 16 else np.uint32
-    pair, short_pair = np.searchsorted(ranks, pair).astype(kind), np.searchsorted(ranks, short_pair).astype(kind)
-    index = np.int32 if back2.size < 1 << 31 else np.int64
-    back2, short = back2.astype(index), short.astype(index)
-    order, interval = np.arange(back2.size, dtype=index), np.zeros(back2.size, index)
+    index = np.int32 if shift[-1] < 1 << 31 else np.int64
+    back2 = np.concatenate([np.where(p.back2 >= 0, p.back2 + s, -1) for p, s in zip(parts, shift, strict=False)]).astype(index)
+    head = np.concatenate([p.head for p in parts]).astype(np.uint16)
+    # every row by its first two characters
+    order = np.flatnonzero(np.concatenate([p.left for p in parts]) >= 2).astype(index)
+    interval = np.zeros(order.size, index)
     for step in range(length // 2):
-        to = back2[order]
-        has = np.flatnonzero(to >= 0)
-        key = np.concatenate([short_pair, pair[order[has]]])
-        # a suffix of two characters equals all that start with them in the first step, and none in later ones
-        was = np.concatenate([np.full(short.size, -1 if step else 0, index), interval[has]])
-        rows = np.concatenate([short, to[has]])
-        by = np.argsort(key, kind="stable")
-        key, was, order = key[by], was[by], rows[by]
-        new = np.zeros(order.size, bool)
-        new[1:] = (key[1:] != key[:-1]) | (was[1:] != was[:-1])
-        interval = np.cumsum(new, dtype=index)
+        if step:
+            order = back2[order]
+            has = order >= 0
+            order, interval = order[has], interval[has]
+        key = head[order]
+        by = np.argsort(key, kind="stable")  # a counting sort, as keys have 16 bits
+        key, interval, order = key[by], interval[by], order[by]
+        new = np.ones(order.size + 1, bool)
+        new[1:-1] = (key[1:] != key[:-1]) | (interval[1:] != interval[:-1])
+        shared = ~(new[:-1] & new[1:])
+        interval = np.cumsum(new[:-1], dtype=index)[shared]
+        order = order[shared]
         yield order, interval
 
 
@@ -223,28 +218,25 @@ def _merge(length: int):
             numbers.append(mine)
         # the collection of each group of shards, and its transform
         of_, low_ = np.array(of), np.array(low, np.int64)
-        parts, starts, lefts, docs = [], np.zeros(len(low), np.int64), [], []
+        parts, starts, docs = [], np.zeros(len(low), np.int64), []
         base = 0
         for g, some in enumerate(member):
             if some:
                 lengths = np.array([len(s) for s in some], np.int64)
-                parts.append(Transform(np.frombuffer(b"".join(some), np.uint8), lengths, length + length % 2 + 6))
+                parts.append(Transform(np.frombuffer(b"".join(some), np.uint8), lengths, length + 6))
                 ends = np.cumsum(lengths)
                 starts[of_ == g] = base + ends - lengths
-                lefts.append((np.repeat(ends, lengths) - np.arange(ends[-1]))[parts[-1].place])
-                docs.append(np.repeat(low_[of_ == g], lengths)[parts[-1].place])
+                docs.append(np.repeat(low_[of_ == g], lengths))
                 base += int(ends[-1])
         order, interval = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for order, interval in interleave(parts, length):
             pass
-        left, doc = np.concatenate(lefts), np.concatenate(docs)
-        whole = left[order] >= length
-        order, interval = order[whole], interval[whole]
-        first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-        least = np.minimum.reduceat(doc[order], first)
-        place = np.concatenate([p.place + s for p, s in zip(parts, np.cumsum([0, *(p.n for p in parts)]), strict=False)])
-        smallest = np.full(base, LAST)
-        smallest[place[order]] = np.repeat(least, np.diff(np.append(first, order.size)))
+        smallest = np.concatenate(docs)  # of a string that stands in one segment only, that segment's
+        if order.size:
+            place = np.concatenate([p.place + s for p, s in zip(parts, np.cumsum([0, *(p.n for p in parts)]), strict=False)])[order]
+            first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+            least = np.minimum.reduceat(smallest[place], first)
+            smallest[place] = np.repeat(least, np.diff(np.append(first, order.size)))
         # by string: runs of strings of `length` bytes with one smallest document
         coded = []
         for k, s in enumerate(seen):
