@@ -42,6 +42,8 @@ NAME = 16
 GROUPS = 4
 #: Bytes of text whose names are made at once.
 _PIECE = 1 << 20
+#: Odd multipliers, one for each eight bytes of a window.
+_ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64)) for i in range(NAME // 8)]
 
 
 def segments(shard: Shard, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -52,7 +54,11 @@ def segments(shard: Shard, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
         data = shard.data[at : at + _PIECE + length - 1]
         n = data.size - length + 1
         word = np.ndarray((data.size - 7,), "<u8", data.tobytes(), strides=(1,))
-        hashes = mix(word[: data.size - NAME + 1] * np.uint64(0x9E3779B97F4A7C15) ^ mix(word[NAME - 8 :].copy()))
+        windows = data.size - NAME + 1
+        hashes = word[:windows] * _ODD[0]
+        for i in range(1, NAME // 8):
+            hashes += word[8 * i : 8 * i + windows] * _ODD[i]
+        hashes = mix(hashes)
         key = sliding_min(hashes, length - NAME + 1)
         doc = np.searchsorted(shard.offsets, np.arange(at, at + n), "right") - 1
         first, last = runs(key, doc, np.arange(at, at + n) + length <= shard.offsets[doc + 1])
@@ -193,6 +199,12 @@ def interleave(parts: list[Transform], length: int) -> Iterator[tuple[np.ndarray
         yield order, interval
 
 
+def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ..., n of them, for each element in turn."""
+    before = np.cumsum(n) - n
+    return np.repeat(first - before, n) + np.arange(n.sum())
+
+
 def _merge(length: int):
     def run(group: pa.Table) -> pa.Table:
         shards = group.column("shard").to_pylist()
@@ -238,17 +250,23 @@ def _merge(length: int):
             least = np.minimum.reduceat(smallest[place], first)
             smallest[place] = np.repeat(least, np.diff(np.append(first, order.size)))
         # by string: runs of strings of `length` bytes with one smallest document
-        coded = []
-        for k, s in enumerate(seen):
-            x = smallest[starts[k] : starts[k] + len(s) - length + 1]
-            cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
-            coded.append((len(cut), np.diff(np.append(cut, x.size)), x[cut]))
+        n = np.fromiter(map(len, seen), np.int64, len(low)) - length + 1
+        first = np.cumsum(n) - n
+        x = smallest[_spread(starts, n)]
+        new = np.ones(x.size, bool)
+        new[1:] = x[1:] != x[:-1]
+        new[first] = True
+        cut = np.flatnonzero(new)
+        run_length, least = np.diff(np.append(cut, x.size)).astype(np.int32), x[cut]
+        cuts = np.add.reduceat(new, first, dtype=np.int64)
+        at_cut = np.cumsum(cuts) - cuts
         out: list[list] = [[], [], [], []]
         for s, mine in zip(shards, numbers, strict=True):
+            of_string = _spread(at_cut[mine], cuts[mine])
             out[0].append(s)
-            out[1].append(np.array([coded[k][0] for k in mine], np.int32).tobytes())
-            out[2].append(np.concatenate([coded[k][1] for k in mine]).astype(np.int32).tobytes())
-            out[3].append(np.concatenate([coded[k][2] for k in mine]).astype(np.int64).tobytes())
+            out[1].append(cuts[mine].astype(np.int32).tobytes())
+            out[2].append(run_length[of_string].tobytes())
+            out[3].append(least[of_string].tobytes())
         bucket = group.column("bucket")[0].as_py()
         return pa.table({"shard": pa.array(out[0], pa.int32()), "bucket": pa.array([bucket] * len(shards), pa.int32()), "counts": pa.array(out[1], pa.binary()), "runs": pa.array(out[2], pa.binary()), "least": pa.array(out[3], pa.binary())})
 
@@ -263,23 +281,25 @@ def _apply(length: int, buckets: int):
         gone = np.zeros(shard.data.size + 1, np.int64)
         if results.num_rows:
             found = Repeated(shard, received(names)[0], length, buckets)
-            told = {}
-            for b, c, r, x in zip(*(results.column(n).to_pylist() for n in ("bucket", "counts", "runs", "least")), strict=True):
-                c = np.frombuffer(c, np.int32)
-                told[b] = (np.concatenate([[0], np.cumsum(c)]), np.frombuffer(r, np.int32), np.frombuffer(x, np.int64))
-            ids = shard.ids
-            first_gone, last_gone = [], []
-            for b, k, d, x in zip(found.bucket.tolist(), found.number.tolist(), found.doc.tolist(), found.first.tolist(), strict=True):
-                cuts, run_length, least = told[b]
-                own = ids[d]
-                for j in range(cuts[k], cuts[k + 1]):
-                    n = int(run_length[j])
-                    if least[j] < own:
-                        first_gone.append(x)
-                        last_gone.append(x + n - 1 + length)
-                    x += n
-            np.add.at(gone, first_gone, 1)
-            np.subtract.at(gone, last_gone, 1)
+            base = np.zeros(buckets, np.int64)
+            told: list[list[np.ndarray]] = [[], [], []]
+            strings = 0
+            for b, *some in zip(*(results.column(n).to_pylist() for n in ("bucket", "counts", "runs", "least")), strict=True):
+                base[b] = strings
+                for have, x, kind in zip(told, some, (np.int32, np.int32, np.int64), strict=True):
+                    have.append(np.frombuffer(x, kind))
+                strings += told[0][-1].size
+            counts, run_length, least = (np.concatenate(x) for x in told)
+            counts = counts.astype(np.int64)
+            k = base[found.bucket] + found.number
+            n = counts[k]
+            of_string = _spread((np.cumsum(counts) - counts)[k], n)
+            width = run_length[of_string].astype(np.int64)
+            before = np.cumsum(width) - width
+            x = np.repeat(found.first - before[np.cumsum(n) - n], n) + before
+            hit = least[of_string] < np.repeat(shard.ids[found.doc], n)
+            gone += np.bincount(x[hit], minlength=gone.size)
+            gone -= np.bincount((x + width - 1 + length)[hit], minlength=gone.size)
         removed = np.cumsum(gone[:-1]) > 0
         rows: list[list] = [[], [], [], []]
         for i in range(shard.n):
