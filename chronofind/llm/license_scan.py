@@ -2,7 +2,8 @@
 
 A text is cut into sentences, each is normalised (lower case, letter and digit runs joined by one
 space) and looked up among the known licence sentences, which gives a sequence of sentence
-identifiers with their places. Ordered licence rules are matched against that sequence: a rule is a
+identifiers with their places. A known sentence may itself hold such cuts ('free software; you can',
+'v. 2.0', an SPDX tag): pieces are joined for as long as a known sentence goes on like that. Ordered licence rules are matched against that sequence: a rule is a
 list of identifiers that must follow each other with at most `max_gap` other known sentences or
 `max_chars` characters between two. Longer rules go first and use up their sentences, so a full
 notice is reported once and not again by its first line.
@@ -19,6 +20,7 @@ further columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -137,18 +139,19 @@ def _pieces(text: str, cut: re.Pattern, start: int, end: int) -> Iterator[tuple[
     yield at, end
 
 
-def sentences(text: str) -> Iterator[tuple[int, int]]:
-    """Places of the sentences: of whole paragraphs, and of single lines."""
+def sentences(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Places of the sentences: a list for each whole paragraph, and for each single line."""
     for a, b in _pieces(text, _PARAGRAPH, 0, len(text)):
-        yield from _pieces(text, _SENTENCE, a, b)
+        yield list(_pieces(text, _SENTENCE, a, b))
         if "\n" in text[a:b]:
             for c, d in _pieces(text, _LINE, a, b):
-                yield from _pieces(text, _SENTENCE, c, d)
+                yield list(_pieces(text, _SENTENCE, c, d))
 
 
 class Scanner:
     def __init__(self, known: dict[str, str] = SENTENCES, rules=RULES, max_gap: int = 2, max_chars: int = 400):
         self.known = {s: k for k, s in known.items()}
+        self.ordered = sorted(self.known)
         self.longest = max(map(len, self.known), default=0) * 2 + 100
         self.rules = sorted(dict.fromkeys(rules), key=lambda r: (-len(r[1]), r))
         self.max_gap, self.max_chars = max_gap, max_chars
@@ -156,11 +159,31 @@ class Scanner:
     def identify(self, text: str) -> list[tuple[int, int, str]]:
         """(first, end, identifier) of the known sentences, in order."""
         found = set()
-        for a, b in sentences(text):
-            if 3 < b - a < self.longest and (k := self.known.get(normalise(text[a:b]))):
-                found.add((a, b, k))
+        for places in sentences(text):
+            i = 0
+            while i < len(places):
+                n, k = self.longest_at(text, places, i)
+                if k:
+                    found.add((places[i][0], places[i + n - 1][1], k))
+                i += n
         return sorted(found)
 
+    def longest_at(self, text: str, places: list[tuple[int, int]], i: int) -> tuple[int, str | None]:
+        """(pieces, identifier) of the longest known sentence that starts at a piece; (1, None) if none does."""
+        best, words = (1, None), ""
+        for j in range(i, len(places)):
+            a, b = places[j]
+            if b - places[i][0] >= self.longest:
+                break
+            part = normalise(text[a:b])
+            words = f"{words} {part}" if words and part else words or part
+            if part and (k := self.known.get(words)):
+                best = (j - i + 1, k)
+            at = bisect_left(self.ordered, words + " ")
+            if at == len(self.ordered) or not self.ordered[at].startswith(words + " "):
+                break
+        return best
+
     def scan(self, text: str | None) -> list[tuple[str, str, int, int, int]]:
         """(licence, first identifier, sentences, first character, end) of the matches, in order."""
         if not text or not TRIGGER.search(text):

@@ -199,6 +199,78 @@ def test_alignment():
         assert decontamination.align(a, b)[0] == brute_align(a, b)
 
 
+#: How the known licence sentences are written in notices.
+PUNCTUATED = {
+    "mit.grant": "Released under the MIT License.",
+    "mit.grant2": "This project is licensed under the MIT License.",
+    "mit.licensed": "Licensed under the MIT license.",
+    "mit.distributed": "Distributed under the MIT License.",
+    "mit.name": "The MIT License (MIT)",
+    "mit.title": "MIT License",
+    "mit.permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:',
+    "mit.notice": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
+    "mit.warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "apache2.grant": "Licensed under the Apache License, Version 2.0.",
+    "apache2.grant2": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "apache2.released": "Released under the Apache License, Version 2.0.",
+    "apache2.short": "Licensed under the Apache License 2.0.",
+    "apache2.use": "you may not use this file except in compliance with the License.",
+    "apache2.copy": "You may obtain a copy of the License at",
+    "apache2.basis": 'Unless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an "AS IS" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.',
+    "apache2.see": "See the License for the specific language governing permissions and\nlimitations under the License.",
+    "gpl3.work": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl3.licensed": "Licensed under the GNU General Public License version 3.",
+    "gpl3.released": "Released under the GNU General Public License version 3.",
+    "gpl2.work": "This work is licensed under the GNU General Public License, version 2.",
+    "gpl2.licensed": "Licensed under the GNU General Public License version 2.",
+    "gpl3.redistribute": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.",
+    "gpl2.redistribute": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.",
+    "gpl.hope": "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl.details": "See the\nGNU General Public License for more details.",
+    "lgpl3.licensed": "Licensed under the GNU Lesser General Public License, version 3.",
+    "agpl3.licensed": "Licensed under the GNU Affero General Public License, version 3.",
+    "bsd.redistribution": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+    "bsd.source": "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.",
+    "bsd.binary": "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+    "bsd.names": "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    "bsd3.licensed": "Licensed under the BSD 3-Clause License.",
+    "bsd2.licensed": "Licensed under the BSD 2-Clause License.",
+    "isc.licensed": "Licensed under the ISC License.",
+    "mpl2.subject": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "mpl2.licensed": "Licensed under the Mozilla Public License, version 2.0.",
+    "ccbync4.licensed": "Licensed under CC BY-NC 4.0.",
+    "ccby4.licensed": "Licensed under CC BY 4.0.",
+    "ccbysa4.licensed": "Licensed under CC BY-SA 4.0.",
+    "ccbysa3.licensed": "Licensed under CC BY-SA 3.0.",
+    "ccby4.work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "ccbysa4.work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "ccbync4.work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc0.dedicated": "This work is dedicated to the public domain under CC0 1.0.",
+    "unlicense.free": "This is free and unencumbered software released into the public domain.",
+    "reserved.all": "All rights reserved.",
+    "spdx.mit": "// SPDX-License-Identifier: MIT",
+    "spdx.apache2": "# SPDX-License-Identifier: Apache-2.0",
+    "spdx.gpl2": "/* SPDX-License-Identifier: GPL-2.0-only */",
+    "spdx.gpl3": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx.bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx.bsd2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx.mpl2": "SPDX-License-Identifier: MPL-2.0",
+}
+
+
+def test_every_license_sentence_and_rule_is_found():
+    scanner = license_scan.Scanner()
+    assert PUNCTUATED.keys() == license_scan.SENTENCES.keys()
+    for k, s in PUNCTUATED.items():
+        for text in (s, f"int a;\n{s}\nint b;" if "\n" not in s else f"int a;\n\n{s}\n\nint b;", f"Some words. {s}"):
+            assert k in {x[2] for x in scanner.identify(text)}, (k, text)
+    for name, ids in license_scan.RULES:
+        text = "\n\n".join(PUNCTUATED[k] for k in ids)
+        assert [(x[0], x[1], x[2]) for x in scanner.scan(text)] == [(name, ids[0], len(ids))], (name, ids)
+    notice = PUNCTUATED["gpl2.redistribute"]
+    assert scanner.scan(f"x\n\n{notice}") == [("GPL-2.0-or-later", "gpl2.redistribute", 1, 3, 3 + len(notice))]
+
+
 def test_license_scan(spark):
     wrapped = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
     rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, wrapped), (3, "no license here"), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0. And then: All rights reserved."), (1, "text\nReleased under the MIT License.\nmore"), (None, "x. " * 5000 + "Released under the MIT License.")]
