@@ -2,11 +2,15 @@
 
 Words are lower-cased letter and digit runs. The corpus is scanned once to count, for every n-gram
 of the test items, the documents that hold it; an item's seeds are its rarer n-grams (all that at
-most a `rare_share` of the documents hold, and the rarer half of them in any case, so that an item
-that leaked into many documents keeps seeds). A second scan joins passages to items by the seeds
-they hold, inside the task that reads the text, and aligns each passage around its seeds with the
-item by the Smith-Waterman recurrence over words. A passage is reported if the best local
-alignment scores at least `min_score` of what the whole item would score against itself.
+most a `rare_share` of the documents hold, and in any case, so that an item that leaked into many
+documents keeps seeds in all its parts, the rarer half of them and the rarer one of any two that
+follow each other; equal ones are spread over the item). So a passage with n + 1 words in a row of
+the item always holds a seed; one with fewer may hold none and is then not found. A second scan
+joins passages to items by the seeds they hold, inside the task that reads the text, and aligns each
+passage around its seeds, be it one, with the item by the Smith-Waterman recurrence over words; only
+passages whose words cannot reach the score in any order are left out before. A passage is reported
+if the best local alignment scores at least `min_score` of what the whole item would score against
+itself.
 
 Test items are sent to the tasks in blocks of at most `ITEM_BLOCK` items and `BLOCK_WORDS` words, one
 pair of scans per block, so what is broadcast is bounded; documents are never shuffled.
@@ -70,6 +74,15 @@ def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return score, int(j), end
 
 
+def most(passage: np.ndarray, item: np.ndarray) -> int:
+    """A bound on the score of `align`: of a stretch, words that the other side holds match, all others cost a step."""
+    best = []
+    for a, b in ((passage, item), (item, passage)):
+        sums = np.cumsum(np.append(0, np.where(np.isin(a, b), MATCH, max(MISMATCH, GAP))))
+        best.append(int((sums - np.minimum.accumulate(sums)).max()))
+    return min(best)
+
+
 class Items:
     """A block of test items: words as numbers and n-grams by their numbers."""
 
@@ -141,15 +154,16 @@ def seeds(items: Items, held: dict[int, int], docs: int, rare_share: float) -> n
     """Of each n-gram, whether it is a seed."""
     chosen = np.zeros(items.codes.size, bool)
     limit = rare_share * docs
-    mine: dict[int, list[int]] = defaultdict(list)
-    for g, of in enumerate(items.of):
-        for k in of:
-            mine[k].append(g)
-    for some in mine.values():
-        some.sort(key=lambda g: (held.get(g, 0), g))
-        for i, g in enumerate(some):
-            if held.get(g, 0) <= limit or 2 * i < len(some):
-                chosen[g] = True
+    for w in items.words:
+        if not w.size:
+            continue
+        mine = np.searchsorted(items.codes, items.pack(w, min(items.n, w.size))).tolist()
+        # multiples of the golden section keep equal n-grams apart at any distance
+        rank = [(held.get(g, 0), i * 0.6180339887498949 % 1) for i, g in enumerate(mine)]
+        order = list(dict.fromkeys(mine[i] for i in sorted(range(len(mine)), key=rank.__getitem__)))
+        some = {g for i, g in enumerate(order) if held.get(g, 0) <= limit or 2 * i < len(order)}
+        some |= {mine[min(i, i + 1, key=rank.__getitem__)] for i in range(len(mine) - 1)}
+        chosen[list(some)] = True
     return chosen
 
 
@@ -173,15 +187,16 @@ def passages(items: Items, chosen: np.ndarray, w: np.ndarray, min_score: float)
             else:
                 groups.append([p])
         best = None
+        floor = min_score * MATCH * item.size
         for g in groups:
-            # long items hold many seeds: an edited copy keeps several of them
-            if len(set(g)) < min(2, max(1, (item.size - items.n) // 8)):
-                continue
             first, end = max(0, g[0] - reach), min(w.size, g[-1] + items.n + reach)
+            limit = most(w[first:end], item)
+            if limit < floor or best is not None and limit <= best[0]:
+                continue
             score, a, b = align(w[first:end], item)
             if best is None or score > best[0]:
                 best = (score, first + a, first + b)
-        if best and best[0] >= min_score * MATCH * item.size:
+        if best and best[0] >= floor:
             out.append((k, best[0] / (MATCH * item.size), best[1], best[2]))
     return out
 

@@ -197,6 +197,31 @@ def test_alignment():
     for _ in range(60):
         a, b = rng.integers(1, 6, rng.integers(1, 30)), rng.integers(1, 6, rng.integers(1, 20))
         assert decontamination.align(a, b)[0] == brute_align(a, b)
+        assert decontamination.most(a, b) >= brute_align(a, b)
+
+
+def edited_copies(rng, words):
+    """Partial and edited copies of an item."""
+    n = len(words)
+    yield from (words[n // 2 :], words[: n - n // 2], words[n - n * 55 // 100 :], words[n // 4 : n - n // 4])
+    yield from ([f"x{i}" if i % 4 == k else w for i, w in enumerate(words)] for k in range(4))
+    yield [f"x{i}" if rng.random() < 0.2 else w for i, w in enumerate(words)]
+
+
+def test_decontamination_finds_all_parts_of_leaked_items():
+    """Every n-gram of the items is in too many documents to be rare, equally or the last ones the most."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"i{i}w{j}" for j in range(rng.randint(19, 59)))) for i in range(40)]
+    items = decontamination.Items(rows, decontamination.SEED_WORDS)
+    lost = []
+    for held in ({g: 50 for g in range(items.codes.size)}, {g: 50 + g for g in range(items.codes.size)}):
+        chosen = decontamination.seeds(items, held, 10_000, decontamination.RARE_SHARE)
+        for k, text in rows:
+            for c, copy in enumerate(edited_copies(rng, text.split())):
+                w = items.numbers(" ".join(["before"] * 30 + copy + ["after"] * 30))
+                if brute_align(w, items.words[k]) >= decontamination.MIN_SCORE * 2 * items.words[k].size and k not in {x[0] for x in decontamination.passages(items, chosen, w, decontamination.MIN_SCORE)}:
+                    lost.append((k, c))
+    assert lost == []
 
 
 #: How the known licence sentences are written in notices.
