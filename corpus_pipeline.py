@@ -7,7 +7,7 @@ input. All stages but the last return the columns of their input.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofind.llm import decontamination, language_id, mixing, pii, simhash
@@ -23,6 +23,12 @@ def _fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _row_key() -> Column:
+    """Names a row's text and id; rows of equal keys have equal texts."""
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return F.concat(text, F.lit("|"), F.coalesce(F.sha2(F.col("doc_id").cast("string"), 256), F.lit("")))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language can be told; profiles are learned from the rows that have one."""
     pred, score = _fresh(docs, "_pred"), _fresh(docs, "_score")
@@ -41,9 +47,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of a test item."""
-    found = stored(decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """Drops the rows that hold a passage of a test item; other texts under the same id, or under none, stay."""
+    key = _fresh(docs, "_row")
+    rows = docs.withColumn(key, _row_key())
+    found = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), id_col=key)
+    found = stored(found.select(F.col("doc_id").alias(key)).distinct())
+    return rows.join(found, key, "left_anti").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -414,3 +414,15 @@ def test_pipeline(spark):
     leaks = {r.doc_id for r in decontamination.contaminated(docs, spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")).collect()}
     got = {r.doc_id for r in corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()}
     assert got == ids - dups - leaks and dups and leaks
+
+
+def test_pipeline_drops_leaking_rows_only(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(40))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"so {item} end"), (None, "clean text of no id"), (None, None), (5, "clean text of a repeated id"), (5, item), (5, None), (6, item), (7, ""), (7, "clean text of a repeated id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("x"))
+    got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    same([(r.doc_id, r.text) for r in got.collect()], [r for r in rows if item not in (r[1] or "")])
