@@ -24,9 +24,9 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 
 def _row_key() -> Column:
-    """Names a row's text and id; rows of equal keys have equal texts."""
+    """Names a row's text and id; rows of equal keys are equal in both (a null text counts as an empty one)."""
     text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    return F.concat(text, F.lit("|"), F.coalesce(F.sha2(F.col("doc_id").cast("string"), 256), F.lit("")))
+    return F.sha2(F.concat(text, F.lit("|"), F.coalesce(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(""))), 256)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +37,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, that of the smallest id; of equal rows of it, one.
+    """Keeps one row of each group of near copies: that of the smallest id (null ids last), then of the smallest key.
 
-    Rows that share an id with the kept one but differ in text stay, and so do rows of null ids in groups without
-    any other. The texts meet the kept ids in one join."""
-    found = simhash.near_duplicates(docs)
-    kept = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    Rows are named by text and id, so rows that share an id, or have none, are judged one by one. Texts meet the
+    kept keys in one join, whose order also serves to drop equal rows."""
+    key, order = _fresh(docs, "_row"), _fresh(docs, "_order")
+    rows = docs.withColumn(key, _row_key())
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), F.col(key).alias("row"))
+    found = simhash.near_duplicates(rows.withColumn(order, place), id_col=order)
+    kept = stored(found.select(F.col("component_id.row").alias(key)).distinct())
+    return rows.join(kept.hint("merge"), key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

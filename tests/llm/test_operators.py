@@ -426,3 +426,15 @@ def test_pipeline_drops_leaking_rows_only(spark, tmp_path):
     got = corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))
     assert got.columns == docs.columns
     same([(r.doc_id, r.text) for r in got.collect()], [r for r in rows if item not in (r[1] or "")])
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(4, one), (4, one.upper()), (4, two), (9, one), (None, one), (None, two), (None, two), (None, three), (None, three), (3, two), (4, "quite another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_row", F.lit("x"))
+    group = {(r.doc_id, r.fingerprint) for r in simhash.near_duplicates(docs).collect()}
+    got = corpus_pipeline.near_dup_stage(spark, docs, "")
+    assert got.columns == docs.columns and len({f for _, f in group}) == 4
+    same([(r.doc_id, r.text.lower()) for r in got.collect()], [(4, one), (3, two), (None, three), (4, "quite another text")])
