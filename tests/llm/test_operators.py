@@ -366,6 +366,16 @@ def test_pii_base(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_pii_trusts_contexts_up_to_a_share_of_unseen_values(spark):
+    """After ROUNDS rounds a context is worth about 1 - r^(ROUNDS + 1), r being the share of its values that are no seeds."""
+    rows = []
+    for word, unseen in (("badge", 60), ("locker", 75)):
+        rows += [(0, f"then {word} holder {word}no {i}.2.3.{i} today") for i in range(100 - unseen)] + [(i, f"then {word} holder {word}no {word[0]}x{i + 10000000} today") for i in range(unseen)]
+    found = pii.find(spark.createDataFrame([(f"{t.split()[1]} {i}", t) for i, t in rows], "doc_id string, text string")).collect()
+    more = Counter(r.doc_id.split()[0] for r in found if len(r.spans) > len(r.base))
+    assert more == {"badge": 60}
+
+
 def test_pii_finds_more_by_context(spark):
     rows = [(i, f"text {i} then my badge number is {i}.2.3.{i} today") for i in range(12)] + [(90, "well my badge number is AB12345678 today"), (91, "the AB12345678 elsewhere"), (92, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
