@@ -14,7 +14,9 @@ meet in buckets. Each string of `length` bytes is named by the smallest hash of
 it, so equal strings have equal names; names that a single document holds are out. Neighbouring
 strings of one name make a segment, a bucket holds the segments of its names, each different one
 once, and the transforms of the segments of several groups of shards are merged there. A segment
-goes to a bucket once per shard, whatever the number of documents that hold it.
+goes to a bucket once per shard, whatever the number of documents that hold it. The strings of a hot
+name are dealt one by one over all buckets, by their own hashes. Copies of whole texts take no part:
+they are removed by their digests.
 
 Defined cases: a null text is empty. Rows of one id never remove each other's bytes; a null id is
 larger than all others, and null ids don't remove each other. Texts shorter than `length` keep
@@ -34,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .shards import SENT, Shard, answered, bucket_of, mix, received, runs, send, sharded, sliding_min, where_in
+from .shards import SENT, Known, Shard, answered, bucket_of, mix, nothing_sent, runs, send, sharded, sliding_min, window_hashes
 
 LENGTH = 50
 NAME = 16
 #: Transforms that one bucket merges.
 GROUPS = 4
 #: Bytes of text whose names are made at once.
-_PIECE = 1 << 20
+_PIECE = 1 << 16
 #: Odd multipliers, one for each eight bytes of a window.
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64)) for i in range(NAME // 8)]
 
@@ -60,7 +62,8 @@ def segments(shard: Shard, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
             hashes += word[8 * i : 8 * i + windows] * _ODD[i]
         hashes = mix(hashes)
         key = sliding_min(hashes, length - NAME + 1)
-        doc = np.searchsorted(shard.offsets, np.arange(at, at + n), "right") - 1
+        a, b = np.searchsorted(shard.offsets, (at, at + n - 1), "right") - 1
+        doc = np.repeat(np.arange(a, b + 1), np.diff(np.clip(shard.offsets[a : b + 2], at, at + n)))
         first, last = runs(key, doc, np.arange(at, at + n) + length <= shard.offsets[doc + 1])
         for o, x in zip(out, (mix(key[first]), doc[first], first + at, last + at), strict=True):
             o.append(x)
@@ -75,8 +78,10 @@ def segments(shard: Shard, length: int) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def _names(length: int, buckets: int):
-    def run(_: tuple, docs: pa.Table) -> pa.Table:
-        shard = Shard(docs)
+    def run(_: tuple, docs: pa.Table, back: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            return nothing_sent()
+        shard = Shard(docs, back)
         name, doc, _, _ = segments(shard, length)
         return send(docs.column("shard")[0].as_py(), name, shard.ids[doc], buckets, False)
 
@@ -84,26 +89,38 @@ def _names(length: int, buckets: int):
 
 
 class Repeated:
-    """A shard's segments of shared names, and by bucket its different ones in order of appearance."""
-
-    def __init__(self, shard: Shard, known: np.ndarray, length: int, buckets: int):
-        name, self.doc, self.first, self.last = segments(shard, length)
-        keep = where_in(name, known)[1]
-        self.doc, self.first, self.last = self.doc[keep], self.first[keep], self.last[keep]
-        self.bucket = bucket_of(name[keep], buckets).astype(np.int64)
+    """A shard's segments of shared names, and by bucket its different ones in order of appearance.
+
+    A hot name's strings are dealt one by one, each by its own hash, so that they meet in all buckets."""
+
+    def __init__(self, shard: Shard, known: Known, length: int, buckets: int):
+        name, doc, first, last = segments(shard, length)
+        at, keep = known.find(name)
+        hot = np.zeros(name.size, bool)
+        hot[keep] = known.hot[at[keep]]
+        keep &= ~hot
+        n = (last - first + 1)[hot]
+        start = _spread(first[hot], n)
+        self.doc = np.concatenate([doc[keep], np.repeat(doc[hot], n)])
+        self.first = np.concatenate([first[keep], start])
+        self.last = np.concatenate([last[keep], start])
+        own = window_hashes(shard.data.astype(np.uint64), length)[start] if start.size else np.zeros(0, np.uint64)
+        self.bucket = bucket_of(np.concatenate([name[keep], mix(own)]), buckets).astype(np.int64)
         self.number = np.zeros(self.doc.size, np.int64)
         self.strings: dict[int, list[bytes]] = defaultdict(list)
         self.ids: dict[int, list[int]] = defaultdict(list)
         seen: dict[bytes, int] = {}
         raw = shard.data.tobytes()
-        ids = shard.ids
+        ids = shard.ids.tolist()
         for i, (b, d, x, y) in enumerate(zip(self.bucket.tolist(), self.doc.tolist(), self.first.tolist(), (self.last + length).tolist(), strict=True)):
             s = raw[x:y]
-            k = seen.get(s)  # documents come in order of id: the first has the smallest
+            k = seen.get(s)
             if k is None:
                 k = seen[s] = len(self.strings[b])
                 self.strings[b].append(s)
-                self.ids[b].append(int(ids[d]))
+                self.ids[b].append(ids[d])
+            elif ids[d] < self.ids[b][k]:
+                self.ids[b][k] = ids[d]
             self.number[i] = k
 
 
@@ -114,7 +131,7 @@ def _cut(length: int, buckets: int):
     def run(_: tuple, docs: pa.Table, back: pa.Table) -> pa.Table:
         rows: list[list] = [[], [], [], [], []]
         if docs.num_rows and back.num_rows:
-            found = Repeated(Shard(docs), received(back)[0], length, buckets)
+            found = Repeated(Shard(docs, back), Known(back), length, buckets)
             for b, some in found.strings.items():
                 rows[0].append(b)
                 rows[1].append(docs.column("shard")[0].as_py())
@@ -138,30 +155,30 @@ class Transform:
         n = text.size
         ends = np.cumsum(lengths)
         left = np.repeat(ends, lengths) - np.arange(n)
-        # order by eight characters at a time; only what still ties is looked at again
         padded = np.concatenate([text, np.zeros(depth + 8, np.uint8)])
-        word = np.ndarray((n + depth,), ">u8", padded.tobytes(), strides=(1,))
-
-        def eight(rows: np.ndarray, at: int) -> np.ndarray:
-            have = np.clip(left[rows] - at, 0, 8)
-            mask = np.where(have > 0, np.uint64(0xFFFFFFFFFFFFFFFF) << ((8 - have) * 8).astype(np.uint64), np.uint64(0))
-            return word[rows + at].astype(np.uint64) & mask
-
-        key = eight(np.arange(n), 0)
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        group, open_ = np.zeros(n, np.int64), np.arange(n)
-        for at in range(8, depth + 8, 8):
+        # order by eight characters, then by twice as many again and again: only what still ties is looked at
+        word = np.ndarray((n,), ">u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
+        short = np.flatnonzero(left < 8)
+        word[short] &= np.uint64(0xFFFFFFFFFFFFFFFF) << ((8 - left[short]) * 8).astype(np.uint64)
+        order = np.argsort(word)
+        key = word[order]
+        rank = np.empty(n, np.int64)  # one more than where the rows that equal it begin
+        open_, have = np.arange(n), 8
+        while True:
             new = np.ones(key.size, bool)
-            new[1:] = (key[1:] != key[:-1]) | (group[open_][1:] != group[open_][:-1])
-            group[open_] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
+            new[1:] = key[1:] != key[:-1]
+            rank[order[open_]] = open_[np.flatnonzero(new)][np.cumsum(new) - 1] + 1
+            if have >= depth:
+                break
             open_ = open_[~(new & np.append(new[1:], True))]
-            if not open_.size or at >= depth:
+            if not open_.size:
                 break
             some = order[open_]
-            key = eight(some, at)
-            by = np.lexsort((key, group[open_]))
+            follow = np.where(left[some] > have, rank[np.minimum(some + have, n - 1)], 0)
+            key = (rank[some] << 32) | follow
+            by = np.argsort(key)
             order[open_], key = some[by], key[by]
+            have *= 2
         self.n, self.place, self.left = n, order, left[order]
         row = np.empty(n, np.int64)
         row[order] = np.arange(n)
@@ -273,14 +290,20 @@ def _merge(length: int):
     return run
 
 
+_EMPTY = hashlib.sha256(b"").hexdigest()
+
+
 def _apply(length: int, buckets: int):
     def run(_: tuple, docs: pa.Table, back: pa.Table) -> pa.Table:
-        shard = Shard(docs)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        if not docs.num_rows:
+            return pa.table([pa.array([], t) for t in types], names=_OUT)
+        shard = Shard(docs, back)
         is_name = np.array([k.as_py() is not None for k in back.column("keys")], bool)
         names, results = back.filter(pa.array(is_name)), back.filter(pa.array(~is_name))
         gone = np.zeros(shard.data.size + 1, np.int64)
         if results.num_rows:
-            found = Repeated(shard, received(names)[0], length, buckets)
+            found = Repeated(shard, Known(names), length, buckets)
             base = np.zeros(buckets, np.int64)
             told: list[list[np.ndarray]] = [[], [], []]
             strings = 0
@@ -301,33 +324,58 @@ def _apply(length: int, buckets: int):
             gone += np.bincount(x[hit], minlength=gone.size)
             gone -= np.bincount((x + width - 1 + length)[hit], minlength=gone.size)
         removed = np.cumsum(gone[:-1]) > 0
-        rows: list[list] = [[], [], [], []]
-        for i in range(shard.n):
+        texts: dict[int, tuple] = {}
+        for i, u in enumerate(shard.number.tolist()):
             a, b = shard.offsets[i], shard.offsets[i + 1]
             mine = removed[a:b]
             n = int(mine.sum())
-            rows[0].append(int(b - a))
-            rows[1].append(n)
-            rows[2].append(int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum()) if n else 0)
-            rows[3].append(hashlib.sha256(shard.data[a:b][~mine].tobytes() if n else shard.text(i)).hexdigest())
-        return pa.table({"doc_id": shard.doc_id, "n_bytes": pa.array(rows[0], pa.int64()), "n_removed": pa.array(rows[1], pa.int64()), "n_spans": pa.array(rows[2], pa.int64()), "kept_sha256": pa.array(rows[3], pa.string())})
+            spans = int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum()) if n else 0
+            texts[u] = (int(b - a), n, spans, hashlib.sha256(shard.data[a:b][~mine].tobytes() if n else shard.text(i)).hexdigest())
+        rows: list[list] = [[], [], [], []]
+        for i, (u, copy) in enumerate(zip(shard.of.tolist(), shard.copy.tolist(), strict=True)):
+            size = len(shard.texts[i].as_buffer()) if copy else 0
+            for have, x in zip(rows, (size, size, 1, _EMPTY) if copy else texts[u], strict=True):
+                have.append(x)
+        return pa.table([shard.doc_id, *(pa.array(x, t) for x, t in zip(rows, types[1:], strict=True))], names=_OUT)
 
     return run
 
 
+_OUT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
 def dedup_bytes(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs. length: even, 18 at least."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs. length: even, NAME + 2 at least."""
     if length % 2 or length < NAME + 2:
-        raise ValueError("length must be even, and 18 at least")
-    rows, n = sharded(docs, id_col, text_col)
-    names = answered(rows.groupBy("shard").applyInArrow(_names(length, n), SENT))
-    cut = rows.groupBy("shard").cogroup(names.groupBy("shard")).applyInArrow(_cut(length, n), _SEGMENTS)
+        raise ValueError(f"length must be even, and {NAME + 2} at least")
+    rows, copies, short, n = sharded(docs, id_col, text_col, length)
+    dealt = rows.groupBy("shard")
+    names = answered(dealt.cogroup(copies.groupBy("shard")).applyInArrow(_names(length, n), SENT)).unionByName(copies)
+    cut = dealt.cogroup(names.groupBy("shard")).applyInArrow(_cut(length, n), _SEGMENTS)
     merged = cut.groupBy("bucket").applyInArrow(_merge(length), "shard int, bucket int, counts binary, runs binary, least binary")
-    none = F.lit(None).cast("binary")
-    back = names.select("shard", "bucket", "keys", "ids", none.alias("counts"), none.alias("runs"), none.alias("least"))
-    back = back.unionByName(merged.select("shard", "bucket", none.alias("keys"), none.alias("ids"), "counts", "runs", "least"))
-    return rows.groupBy("shard").cogroup(back.groupBy("shard")).applyInArrow(_apply(length, n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    back = names.unionByName(merged, allowMissingColumns=True)
+    found = dealt.cogroup(back.groupBy("shard")).applyInArrow(_apply(length, n), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    none = F.lit(0).cast("long")
+    text = F.coalesce("text", F.lit(b""))
+    return found.unionByName(short.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256")))
 
 
 def op2_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT r, doc_id, h, unnest(generate_series(1, len(h) // 2)) AS i FROM d),
+win AS (SELECT r, doc_id, i, md5_number(substr(h, 2 * i - 1, 100)) AS k FROM b WHERE i + 49 <= len(h) // 2),
+low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT r, i FROM win JOIN low USING (k) WHERE m < doc_id),
+gone AS (
+  SELECT b.r, b.i, substr(h, 2 * b.i - 1, 2) AS x, count(hit.i) OVER (PARTITION BY b.r ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM b LEFT JOIN hit ON hit.r = b.r AND hit.i = b.i
+),
+spans AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS starts FROM gone),
+told AS (SELECT r, count(*) FILTER (gone) AS n, count(*) FILTER (starts) AS s, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM spans GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN told USING (r)
+"""

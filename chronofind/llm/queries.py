@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_byte_dedup": byte_dedup.ORACLE_SQL,
+    "op5_word_dedup": word_dedup.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op10_topk": topk.ORACLE_SQL,
 }

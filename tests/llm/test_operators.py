@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from chronofind.llm import byte_dedup, decontamination, language_id, license_scan, mixing, pii, queries, simhash, topk, url_filter, word_dedup
+from chronofind.llm import byte_dedup, decontamination, language_id, license_scan, mixing, pii, queries, shards, simhash, topk, url_filter, word_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LAST = 2**63 - 1
@@ -71,6 +71,37 @@ def test_byte_dedup(docs, rows):
     assert byte_dedup.dedup_bytes(docs.limit(0)).count() == 0
 
 
+def test_dedup_of_hot_names_and_odd_ids(spark, monkeypatch):
+    """A passage that most documents hold, at a limit that makes its names hot; then all ids null, and one id for all."""
+    monkeypatch.setattr(shards, "HOT", 6)
+    rng = random.Random(4)
+    passage = " ".join(f"p{rng.randint(0, 999)}" for _ in range(60))
+    words = lambda n: " ".join(f"w{rng.randint(0, 99)}" for _ in range(n))
+    texts = [f"{words(rng.randint(0, 30))} {passage} {words(rng.randint(0, 30))}" for _ in range(60)] + ["ab " * 90] * 9 + [words(80) for _ in range(5)] * 2
+    for ids in (lambda i: i % 50, lambda i: None, lambda i: 7, lambda i: None if i % 2 else 3):
+        rows = [(ids(i), t) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        same(byte_dedup.dedup_bytes(df).collect(), list(brute_windows([(i, t.encode()) for i, t in rows], 50, bytes)))
+        items = [(i, WORD.findall(t)) for i, t in rows]
+        same(word_dedup.dedup_words(df).collect(), [(i, n, r, h) for i, n, r, _, h in brute_windows(items, 50, lambda w: " ".join(w).encode())])
+
+
+def test_word_dedup_is_not_fooled_by_made_up_words(spark):
+    """Words whose polynomial hashes modulo 2^64 are equal for every odd base, as the Thue-Morse sequence makes them."""
+    bits = [i.bit_count() % 2 for i in range(1024)]
+    same_words = [f"w{i}" for i in range(49)]
+    rows = [(k, " ".join([*same_words, "".join("ab"[b ^ k] for b in bits)])) for k in (0, 1)]
+    got = word_dedup.dedup_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_exchange_rows_grow_with_the_text():
+    """One row per shard and bucket: with shards that grow with the root of the text, at most one for ROW_BYTES of it."""
+    for total in (1 << 28, 1 << 32, 1 << 36, 10**14):
+        n = -(-total // max(shards.SHARD_BYTES, int((shards.ROW_BYTES * total) ** 0.5)))
+        assert n * n <= 1.01 * total / shards.ROW_BYTES + 2 * n
+
+
 def test_interleave_orders_by_characters():
     rng = np.random.default_rng(1)
     parts, strings = [], []
@@ -408,7 +439,7 @@ def test_topk(spark, monkeypatch):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_duckdb(spark, name):
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     got = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
     rel = con.sql(queries.ORACLES[name])
