@@ -36,12 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .shards import SENT, Known, Shard, answered, bucket_of, mix, nothing_sent, runs, send, sharded, sliding_min, window_hashes
+from .shards import SENT, Known, Shard, answered, bucket_of, mix, nothing_sent, place_in_bucket, runs, send, sharded, sliding_min
 
 LENGTH = 50
 NAME = 16
 #: Transforms that one bucket merges.
 GROUPS = 4
+#: Bytes of strings that are merged at once, about: what a core's cache holds.
+STRETCH = 160_000
 #: Bytes of text whose names are made at once.
 _PIECE = 1 << 16
 #: Odd multipliers, one for each eight bytes of a window.
@@ -104,32 +106,64 @@ class Repeated:
         self.doc = np.concatenate([doc[keep], np.repeat(doc[hot], n)])
         self.first = np.concatenate([first[keep], start])
         self.last = np.concatenate([last[keep], start])
-        own = window_hashes(shard.data.astype(np.uint64), length)[start] if start.size else np.zeros(0, np.uint64)
-        self.bucket = bucket_of(np.concatenate([name[keep], mix(own)]), buckets).astype(np.int64)
+        raw = shard.data.tobytes()
+        own, equal = self.hashes(raw, start, length)
+        key = np.concatenate([name[keep], own])
+        self.bucket = bucket_of(key, buckets).astype(np.int64)
+        place = place_in_bucket(key, buckets)
         self.number = np.zeros(self.doc.size, np.int64)
         self.strings: dict[int, list[bytes]] = defaultdict(list)
         self.ids: dict[int, list[int]] = defaultdict(list)
+        self.places: dict[int, list[int]] = defaultdict(list)
+        # of the hot strings only the first of equal ones is looked at, with the smallest of their ids
+        ids = shard.ids[self.doc]
+        alone = int(keep.sum())
+        if start.size:
+            np.minimum.at(ids, alone + equal, ids[alone:])
+        same = np.concatenate([np.arange(alone), alone + equal])
+        some = np.flatnonzero(same == np.arange(same.size))
         seen: dict[bytes, int] = {}
-        raw = shard.data.tobytes()
-        ids = shard.ids.tolist()
-        for i, (b, d, x, y) in enumerate(zip(self.bucket.tolist(), self.doc.tolist(), self.first.tolist(), (self.last + length).tolist(), strict=True)):
+        for i, b, k, p, x, y in zip(some.tolist(), *(c[some].tolist() for c in (self.bucket, ids, place, self.first, self.last + length)), strict=True):
             s = raw[x:y]
-            k = seen.get(s)
-            if k is None:
-                k = seen[s] = len(self.strings[b])
+            n = seen.get(s)
+            if n is None:
+                n = seen[s] = len(self.strings[b])
                 self.strings[b].append(s)
-                self.ids[b].append(ids[d])
-            elif ids[d] < self.ids[b][k]:
-                self.ids[b][k] = ids[d]
-            self.number[i] = k
-
-
-_SEGMENTS = "bucket int, shard int, text binary, lengths binary, ids binary"
+                self.ids[b].append(k)
+                self.places[b].append(p)
+            elif k < self.ids[b][n]:
+                self.ids[b][n] = k
+            self.number[i] = n
+        self.number = self.number[same]
+
+    @staticmethod
+    def hashes(raw: bytes, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the strings at some starts, and of each the number of the first that it equals byte by byte (its own
+        for those few that share a hash with other strings)."""
+        own, equal = np.zeros(start.size, np.uint64), np.arange(start.size)
+        if not start.size:
+            return own, equal
+        word = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+        offsets = [*range(0, length - 7, 8), length - 8]
+        for i, o in enumerate(offsets):
+            own += word[start + o] * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64))
+        own = mix(own)
+        order = np.argsort(own, kind="stable")
+        new = np.ones(order.size, bool)
+        new[1:] = own[order[1:]] != own[order[:-1]]
+        equal[order] = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        for o in offsets:
+            other = word[start + o] != word[start[equal] + o]
+            equal[other] = np.flatnonzero(other)
+        return own, equal
+
+
+_SEGMENTS = "bucket int, shard int, text binary, lengths binary, ids binary, places binary"
 
 
 def _cut(length: int, buckets: int):
     def run(_: tuple, docs: pa.Table, back: pa.Table) -> pa.Table:
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         if docs.num_rows and back.num_rows:
             found = Repeated(Shard(docs, back), Known(back), length, buckets)
             for b, some in found.strings.items():
@@ -138,8 +172,9 @@ def _cut(length: int, buckets: int):
                 rows[2].append(b"".join(some))
                 rows[3].append(np.array([len(s) for s in some], np.int32).tobytes())
                 rows[4].append(np.array(found.ids[b], np.int64).tobytes())
-        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "shard", "text", "lengths", "ids"), rows, types, strict=True)})
+                rows[5].append(np.array(found.places[b], np.uint16).tobytes())
+        types = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("bucket", "shard", "text", "lengths", "ids", "places"), rows, types, strict=True)})
 
     return run
 
@@ -222,61 +257,68 @@ def _spread(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - before, n) + np.arange(n.sum())
 
 
+def least_ids(pieces: list[bytes], group: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings, the smallest id that holds each of their substrings of `length` bytes, in runs: (runs of each string,
+    length of each run, its id). The strings of a group make one transform."""
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    parts, base = [], 0
+    starts = np.zeros(size.size, np.int64)
+    order = np.argsort(group, kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+        parts.append(Transform(np.frombuffer(b"".join([pieces[k] for k in some.tolist()]), np.uint8), size[some], length + 6))
+        ends = np.cumsum(size[some])
+        starts[some] = base + ends - size[some]
+        base += int(ends[-1])
+    rows, interval = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for rows, interval in interleave(parts, length):
+        pass
+    smallest = np.repeat(ids[order], size[order])  # of a string that stands in one piece only, that piece's
+    if rows.size:
+        place = np.concatenate([p.place + s for p, s in zip(parts, np.cumsum([0, *(p.n for p in parts)]), strict=False)])[rows]
+        first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+        least = np.minimum.reduceat(smallest[place], first)
+        smallest[place] = np.repeat(least, np.diff(np.append(first, rows.size)))
+    n = size - length + 1
+    first = np.cumsum(n) - n
+    x = smallest[_spread(starts, n)]
+    new = np.ones(x.size, bool)
+    new[1:] = x[1:] != x[:-1]
+    new[first] = True
+    cut = np.flatnonzero(new)
+    return np.add.reduceat(new, first, dtype=np.int64), np.diff(np.append(cut, x.size)).astype(np.int32), x[cut]
+
+
 def _merge(length: int):
     def run(group: pa.Table) -> pa.Table:
         shards = group.column("shard").to_pylist()
         seen: dict[bytes, int] = {}
         low: list[int] = []
-        member: list[list[bytes]] = [[] for _ in range(GROUPS)]
-        numbers: list[list[int]] = []
+        places: list[int] = []
         of: list[int] = []
-        for s, text, lengths, ids in zip(shards, group.column("text"), group.column("lengths"), group.column("ids"), strict=True):
+        numbers: list[list[int]] = []
+        for s, text, *more in zip(shards, *(group.column(c) for c in ("text", "lengths", "ids", "places")), strict=True):
             text, at, mine = text.as_py(), 0, []
-            for n, i in zip(np.frombuffer(lengths.as_py(), np.int32).tolist(), np.frombuffer(ids.as_py(), np.int64).tolist(), strict=True):
+            for n, i, p in zip(*(np.frombuffer(x.as_py(), k).tolist() for x, k in zip(more, (np.int32, np.int64, np.uint16), strict=True)), strict=True):
                 piece = text[at : at + n]
                 at += n
                 k = seen.get(piece)
                 if k is None:
                     k = seen[piece] = len(low)
                     low.append(i)
+                    places.append(p)
                     of.append(s % GROUPS)
-                    member[s % GROUPS].append(piece)
                 elif i < low[k]:
                     low[k] = i
                 mine.append(k)
             numbers.append(mine)
-        # the collection of each group of shards, and its transform
-        of_, low_ = np.array(of), np.array(low, np.int64)
-        parts, starts, docs = [], np.zeros(len(low), np.int64), []
-        base = 0
-        for g, some in enumerate(member):
-            if some:
-                lengths = np.array([len(s) for s in some], np.int64)
-                parts.append(Transform(np.frombuffer(b"".join(some), np.uint8), lengths, length + 6))
-                ends = np.cumsum(lengths)
-                starts[of_ == g] = base + ends - lengths
-                docs.append(np.repeat(low_[of_ == g], lengths))
-                base += int(ends[-1])
-        order, interval = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for order, interval in interleave(parts, length):
-            pass
-        smallest = np.concatenate(docs)  # of a string that stands in one segment only, that segment's
-        if order.size:
-            place = np.concatenate([p.place + s for p, s in zip(parts, np.cumsum([0, *(p.n for p in parts)]), strict=False)])[order]
-            first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-            least = np.minimum.reduceat(smallest[place], first)
-            smallest[place] = np.repeat(least, np.diff(np.append(first, order.size)))
-        # by string: runs of strings of `length` bytes with one smallest document
-        n = np.fromiter(map(len, seen), np.int64, len(low)) - length + 1
-        first = np.cumsum(n) - n
-        x = smallest[_spread(starts, n)]
-        new = np.ones(x.size, bool)
-        new[1:] = x[1:] != x[:-1]
-        new[first] = True
-        cut = np.flatnonzero(new)
-        run_length, least = np.diff(np.append(cut, x.size)).astype(np.int32), x[cut]
-        cuts = np.add.reduceat(new, first, dtype=np.int64)
-        at_cut = np.cumsum(cuts) - cuts
+        # equal strings have equal names, so stretches of names are merged apart from each other
+        pieces, of_, low_ = list(seen), np.array(of), np.array(low, np.int64)
+        stretch = np.array(places, np.int64) * (sum(map(len, pieces)) // STRETCH + 1) >> 16
+        order = np.argsort(stretch, kind="stable")
+        found = [least_ids([pieces[k] for k in some.tolist()], of_[some], low_[some], length) for some in np.split(order, np.flatnonzero(np.diff(stretch[order])) + 1)]
+        runs_, run_length, least = (np.concatenate(x) for x in zip(*found, strict=True))
+        cuts, at_cut = np.empty(order.size, np.int64), np.empty(order.size, np.int64)
+        cuts[order], at_cut[order] = runs_, np.cumsum(runs_) - runs_
         out: list[list] = [[], [], [], []]
         for s, mine in zip(shards, numbers, strict=True):
             of_string = _spread(at_cut[mine], cuts[mine])

@@ -143,6 +143,11 @@ def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
+def place_in_bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Where in its bucket's range a key is, in 16 bits."""
+    return (((key >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(16)) & np.uint64(0xFFFF)
+
+
 SENT = "bucket int, shard int, keys binary, checks binary, held binary, ids binary"
 BACK = "shard int, bucket int, keys binary, checks binary, hot binary, ids binary"
 _NONE = np.zeros(0, np.uint64)
