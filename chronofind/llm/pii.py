@@ -1,22 +1,28 @@
 """Personal data by bootstrapped contextual extraction [native].
 
-Base entities come from patterns (e-mail, IP, card, phone) with their checks. They are the seeds:
-the words around them give lexical patterns (the two words before; the word before and the word
-after). All identifier-like tokens of the corpus are candidates, and patterns and the different
-values found in them form a bipartite graph. Spark scores it in rounds: a pattern's confidence for
-a kind is the score of its values, summed, over one more than their number; a candidate's score is
-the confidence of its best pattern; seeds keep 1. Patterns with `min_seeds` different seeds and
-`min_confidence` are trusted, and their candidates are reported as further entities of that kind.
+Base entities come from patterns (e-mail, IP, card, phone) with their checks. Secrets have no pattern
+of their own: values of some published shapes (digests, access keys) are their seeds, but none is reported
+for its shape alone. All identifier-like tokens, those that hold a digit and have six characters or more,
+are candidates; quotes, brackets and a key before `=` or `:` don't belong to them. The base entities and the
+shapes are seeds: the words around them give lexical patterns (the two words before; the word before and
+the word after). Patterns and the different values found in them form a bipartite graph, which Spark
+scores in rounds. For a kind, a value of a pattern speaks for it if it is a seed of the kind or stands in
+another trusted pattern of it, and against it if it is a seed of another kind; a value that nothing is known
+of counts an eighth against it. A pattern's confidence is the share of what speaks for it, one being added to
+the whole; with `min_seeds` values for it, one of them a seed, and `min_confidence` it is trusted. Trust only grows, and the rounds
+end when no pattern is added. Values in trusted patterns are reported as further entities of the kind.
 
 Everything is DataFrame and SQL functions. Positions are found inside the row: a text is split at a
 pattern's matches, and the pieces' lengths are summed up in blocks, so that a text with very many
 matches stays cheap. The patterns are written with possessive quantifiers and anchors at run
-starts, which leave their matches as they are but bound their time and stack on long runs.
+starts, which leave their matches as they are but bound their time and stack on long runs. A context is
+what stands in the `BEFORE` characters before and the `AFTER` characters after a value.
 
 Defined cases: a null text is empty. Rows are judged one by one, so repeated rows and repeated or
-null ids are all returned. Spans of different kinds may overlap; discovered ones overlap no base
-span. Ties in start go by kind in the order of `KINDS`, then by end. An empty table gives an empty
-result; further columns are not read.
+null ids are all returned; equal rows count once when patterns are scored. Spans of different kinds may overlap;
+discovered ones overlap no base span, but that a secret may hold one. Of a token's kinds the surest counts, then the first
+in the order of `KINDS` and `MORE`. Ties in start go by kind in that order, then by end. An empty table gives an empty
+result; further columns are not read, whatever their names, and `redacted` returns them as they are.
 """
 
 from __future__ import annotations
@@ -28,9 +34,14 @@ from .common import discard, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 
+#: Kinds that have no base pattern.
+MORE = ("secret",)
+
 MIN_SEEDS = 4
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
+#: What a value of which nothing is known counts against a pattern.
+UNKNOWN = 0.125
+BEFORE, AFTER = 120, 60
 
 #: The base patterns, as Java regular expressions. `\G` or a run start: where a run of the first class is
 #: entered in its middle, it would match from its start as well.
@@ -47,8 +58,18 @@ NEEDS = {
     "card": "_text rlike '[0-9]'",
     "phone": "contains(_text, '+')",
 }
-#: Identifier-like tokens: up to eight letters, a digit, and at least five more characters.
-CANDIDATE = r"(?<![^\s])[A-Za-z#(]{0,8}[0-9][A-Za-z0-9@._:/()-]{4,62}[A-Za-z0-9](?![A-Za-z0-9@_])"
+#: Identifier-like tokens: runs that hold a digit; what they may not end with is cut off.
+CANDIDATE = r"(?<![A-Za-z0-9@._/+-])(?=[A-Za-z@._/+-]*+[0-9])[A-Za-z0-9][A-Za-z0-9@._/+-]*+"
+_ENDS = r"[@._/+-]+$"
+_LEAST = 6
+# Published shapes of secrets, of lower-cased tokens.
+SECRETS = (
+    r"(?=[0-9]*+[a-f])(?=[a-f]*+[0-9])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})",
+    r"akia[0-9a-z]{16}",
+    r"gh[oprsu]_[0-9a-z]{36}",
+    r"sk_live_[0-9a-z]{24,}",
+    r"aiza[0-9a-z_-]{35}",
+)
 
 _IP = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.(?!$)|$)){4}$"
 _BLOCK = 64
@@ -106,7 +127,7 @@ def base_spans(docs: DataFrame, text: Column) -> DataFrame:
 
 def _key(id_col: Column, text: Column) -> Column:
     """Names a row's id and text; equal rows have equal spans."""
-    return F.sha2(F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit("|"), F.coalesce(text, F.lit(""))), 256)
+    return F.sha2(F.concat(F.sha2(F.coalesce(text, F.lit("")), 256), F.coalesce(F.sha2(id_col.cast("string"), 256), F.lit(""))), 256)
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -114,53 +135,74 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     candidates with the words around them. The one pass over the texts that mining needs."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), _key(F.col(id_col), F.col(text_col)).alias("_key"))
     rows = _found(base_spans(rows, F.col("_t")), "_c", CANDIDATE, "_text rlike '[0-9]'")
-    # what is before is turned round, so that its last words are found from the start
-    before = "reverse(substring(_text, greatest(x.s - 119, 1), least(x.s, 120)))"
-    after = "substring(_text, x.e + 1, 60)"
+    cut = f"x.s + length(regexp_replace(x.m, {_sql(_ENDS)}, ''))"
+    rows = rows.withColumn("_c", F.expr(f"filter(transform(_c, x -> struct(x.s, cast(null as int) as k, {cut} as e)), x -> x.e - x.s >= {_LEAST})"))
+    # what is before is turned round, so that its last words are found from the start; quotes and brackets belong to nothing
+    before = f"regexp_replace(reverse(substring(_text, greatest(x.s - {BEFORE - 1}, 1), least(x.s, {BEFORE}))), {_sql('^["(<{' + chr(39) + chr(92) + '[]+')}, '')"
+    after = f"substring(_text, x.e + 1, {AFTER})"
     around = [
         rf"lower(reverse(regexp_extract({before}, '^\\s*\\S+\\s+(\\S+)', 1))) as l2",
         rf"lower(reverse(regexp_extract({before}, '^\\s*(\\S+)', 1))) as l1",
-        rf"lower(regexp_extract({after}, '^\\s*(\\S+)', 1)) as r1",
+        rf"lower(regexp_extract({after}, '^\\S*\\s+(\\S+)', 1)) as r1",
     ]
     value = "lower(substring(_text, x.s + 1, x.e - x.s)) as value"
-    every = "concat(_base, transform(_c, x -> struct(x.s, cast(null as int) as k, x.e)))"
-    rows = rows.withColumn("seen", F.expr(f"transform({every}, x -> struct(x.s, x.k, x.e, {value}, {', '.join(around)}))"))
+    rows = rows.withColumn("seen", F.expr(f"transform(concat(_base, _c), x -> struct(x.s, x.k, x.e, {value}, {', '.join(around)}))"))
     return rows.select("id", "_key", F.col("_base").alias("base"), "seen")
 
 
 def mentions(scanned: DataFrame) -> DataFrame:
-    """(key, s, e, k, value, l2, l1, r1): all base entities and, with k null, the candidates that overlap none."""
-    flat = scanned.filter("size(seen) > 0").select(F.col("_key").alias("key"), F.inline("seen"))
+    """(key, s, e, k, seed, value, l2, l1, r1): all base entities and, with k null, the candidates that overlap none or
+    have the shape of a secret that holds them; seed: the kind that is known of the value."""
+    flat = scanned.filter("size(seen) > 0").dropDuplicates(["_key"]).select(F.col("_key").alias("key"), F.inline("seen"))
+    shape = "^(?:" + "|".join(SECRETS) + ")$"
+    flat = flat.withColumn("seed", F.coalesce("k", F.when(F.col("value").rlike(shape), F.lit(len(KINDS)))))
     # both windows grow from their start: a frame up to the last row would be summed anew for each row
-    flat = flat.withColumn("_ended", F.expr("max(if(k is null, null, e)) over (partition by key order by s, e rows between unbounded preceding and 1 preceding)"))
-    flat = flat.withColumn("_next", F.expr("min(if(k is null, null, s)) over (partition by key order by s desc, e desc rows between unbounded preceding and 1 preceding)"))
-    return flat.filter("k is not null or (coalesce(_ended, -1) <= s and coalesce(_next, e) >= e)").select("key", "s", "e", "k", "value", "l2", "l1", "r1")
+    flat = flat.withColumn("_ended", F.expr("max(if(k is null, null, e)) over (partition by key order by s, e desc, k nulls last rows between unbounded preceding and 1 preceding)"))
+    flat = flat.withColumn("_next", F.expr("min(if(k is null, null, s)) over (partition by key order by s desc, e, k nulls first rows between unbounded preceding and 1 preceding)"))
+    apart = "coalesce(_ended, -1) <= s and coalesce(_next, e) >= e"
+    holds = "seed is not null and coalesce(_ended, -1) <= s"
+    return flat.filter(f"k is not null or ({apart}) or ({holds})").select("key", "s", "e", "k", "seed", "value", "l2", "l1", "r1")
 
 
-def discover(scanned: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(key, found): further entities of a row, as an array of (s, k, e)."""
+def discover(scanned: DataFrame, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, rounds: int | None = None) -> DataFrame:
+    """(key, found): further entities of a row, as an array of (s, k, e). rounds: at most so many; None: until no pattern is added."""
+    spark = scanned.sparkSession
     two = F.when((F.col("l1") != "") & (F.col("l2") != ""), F.concat(F.lit("2 "), "l2", F.lit(" "), "l1"))
     around = F.when((F.col("l1") != "") & (F.col("r1") != ""), F.concat(F.lit("1 "), "l1", F.lit(" _ "), "r1"))
-    seen = stored(mentions(scanned).select("key", "s", "e", "k", "value", F.explode(F.array_compact(F.array(two, around))).alias("pattern")))
-    edges = seen.select("pattern", "value", "k").distinct()
-    seeded = edges.groupBy("pattern").agg(F.count("*").alias("n"), *[F.count(F.when(F.col("k") == i, 1)).alias(f"n{i}") for i in range(len(KINDS))])
-    kinds = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("seeds")) for i in range(len(KINDS))])
-    seeded = stored(seeded.select("pattern", "n", F.inline(kinds)).filter(F.col("seeds") >= min_seeds))
-    # only candidates in a pattern that seeds vouch for can be reached
-    open_ = stored(edges.filter("k is null").join(seeded.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "value"))
-    scored = seeded.select("pattern", "k", "n", "seeds", (F.col("seeds") / (F.col("n") + 1)).alias("confidence"))
-    for _ in range(rounds if open_.limit(1).count() else 0):
-        values = open_.join(scored, "pattern").groupBy("value", "k").agg(F.max("confidence").alias("score"))
-        values = stored(values)
-        gained = open_.join(values, "value").groupBy("pattern", "k").agg(F.sum("score").alias("gained"))
-        scored = seeded.join(gained, ["pattern", "k"], "left").select("pattern", "k", "n", "seeds", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + 1)).alias("confidence"))
-        scored = stored(scored)
-        discard(values)
-    trusted = stored(scored.filter(F.col("confidence") >= min_confidence).select("pattern", F.col("k").alias("kind"), "confidence"))
-    # seeds are found already; of a candidate's kinds the surest counts
-    hits = seen.filter("k is null").join(trusted, "pattern").groupBy("key", "s", "e").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("x"))
+    seen = stored(mentions(scanned).select("key", "s", "e", "k", "seed", "value", F.explode(F.array_compact(F.array(two, around))).alias("pattern")))
+    # a value is a seed of one kind: what the patterns took it for, or its shape
+    edges = seen.groupBy("pattern", "value").agg(F.min("seed").alias("seed"))
+    kinds = range(len(KINDS) + len(MORE))
+    per = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.count("seed").alias("known"), *[F.count_if(F.col("seed") == i).alias(f"n{i}") for i in kinds])
+    per = per.select("pattern", "n", "known", F.inline(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"n{i}").alias("seeds")) for i in kinds])))
+    seeded = stored(per.filter("seeds > 0"))
+    open_ = stored(edges.filter("seed is null").join(seeded.select("pattern").distinct(), "pattern", "left_semi").select("pattern", "value"))
+    trusted = spark.createDataFrame([], "pattern string, k int, confidence double")
+    before, n = None, 0
+    while rounds is None or n < rounds:
+        # of each unknown value the trusted patterns it stands in; those beside the pattern itself speak for it
+        held = open_.join(trusted, "pattern").groupBy("value", "k").agg(F.count("*").alias("in"))
+        gained = open_.join(held, "value").join(trusted.select("pattern", "k", F.lit(1).alias("own")), ["pattern", "k"], "left")
+        gained = gained.groupBy("pattern", "k").agg(F.count_if(F.col("in") > F.coalesce("own", F.lit(0))).alias("gained"))
+        scored = seeded.join(gained, ["pattern", "k"], "left").withColumn("for", F.col("seeds") + F.coalesce("gained", F.lit(0)))
+        unknown = F.col("n") - F.col("known") - F.coalesce("gained", F.lit(0))
+        confidence = F.col("for") / (F.col("for") + F.col("known") - F.col("seeds") + UNKNOWN * unknown + 1)
+        now = stored(scored.select("pattern", "k", "for", confidence.alias("confidence")).filter((F.col("for") >= min_seeds) & (F.col("confidence") >= min_confidence)).select("pattern", "k", "confidence"))
+        count = now.count()
+        if before is not None:
+            discard(trusted)
+        grown = count > (before or 0)
+        trusted, before, n = now, count, n + 1
+        if not grown:
+            break
+    # of a candidate's kinds the surest counts; a shape is of its own kind only
+    hits = seen.filter("k is null").join(trusted.withColumnRenamed("k", "kind"), "pattern").filter("seed is null or seed = kind")
+    hits = hits.groupBy("key", "s", "e").agg(F.max(F.struct("confidence", -F.col("kind"))).alias("x"))
     hits = hits.select("key", F.struct("s", (-F.col("x.col2")).cast("int").alias("k"), "e").alias("span"))
-    return stored(hits.groupBy("key").agg(F.collect_list("span").alias("found")))
+    found = stored(hits.groupBy("key").agg(F.collect_list("span").alias("found")))
+    for x in (seen, seeded, open_, *([trusted] if before is not None else [])):
+        discard(x)
+    return found
 
 
 def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -178,22 +220,26 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 
 def _listed(spans: str) -> str:
-    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    names = "array(" + ", ".join(f"'{k}'" for k in KINDS + MORE) + ")"
     return f"array_join(transform({spans}, x -> concat({names}[x.k], ':', x.s, ':', x.e)), ',')"
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with every span of the text replaced by its kind in square brackets; overlapping spans are replaced together, under the first's kind."""
-    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS) + ")"
-    found = discover(stored(scan(docs, id_col, text_col)), **options)
-    rows = base_spans(docs, F.col(text_col)).drop("_text").withColumnRenamed("_base", "base")
-    rows = _joined(rows.withColumn("_key", _key(F.col(id_col), F.col(text_col))), found)
-    step = f"if(x.s < acc.at, struct(acc.out as out, greatest(acc.at, x.e) as at), struct(concat(acc.out, substring(`{text_col}`, acc.at + 1, x.s - acc.at), {names}[x.k]) as out, x.e as at))"
-    done = f"aggregate(spans, struct('' as out, 0 as at), (acc, x) -> {step}, acc -> concat(acc.out, substring(`{text_col}`, acc.at + 1)))"
-    return rows.withColumn(text_col, F.expr(f"if(size(spans) > 0, {done}, `{text_col}`)")).select(docs.columns)
+    names = "array(" + ", ".join(f"'[{k.upper()}]'" for k in KINDS + MORE) + ")"
+    scanned = stored(scan(docs, id_col, text_col))
+    found = discover(scanned, **options)
+    discard(scanned)
+    # the columns travel as one, so none of their names can clash
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_t"), _key(F.col(id_col), F.col(text_col)).alias("_key"))
+    rows = _joined(base_spans(rows, F.col("_t")).drop("_text").withColumnRenamed("_base", "base"), found)
+    step = f"if(x.s < acc.at, struct(acc.out as out, greatest(acc.at, x.e) as at), struct(concat(acc.out, substring(_t, acc.at + 1, x.s - acc.at), {names}[x.k]) as out, x.e as at))"
+    done = f"aggregate(spans, struct('' as out, 0 as at), (acc, x) -> {step}, acc -> concat(acc.out, substring(_t, acc.at + 1)))"
+    text = F.expr(f"if(size(spans) > 0, {done}, _t)")
+    return rows.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = find(table(spark, sf_dir, "documents"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.k = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(F.expr(_listed("base")), 256).alias("base_sha256"), F.expr(_listed("spans")).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(F.expr(_listed("base")), 256).alias("base_sha256"), F.expr(_listed("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
