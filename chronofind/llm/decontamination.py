@@ -12,8 +12,11 @@ passages whose words cannot reach the score in any order are left out before. A
 if the best local alignment scores at least `min_score` of what the whole item would score against
 itself.
 
+The alignment keeps one row of the recurrence, so its memory grows with the passage alone.
+
 Test items are sent to the tasks in blocks of at most `ITEM_BLOCK` items and `BLOCK_WORDS` words, one
-pair of scans per block, so what is broadcast is bounded; documents are never shuffled.
+pair of scans per block (an item with more words than that has a block of its own), so what is broadcast is
+bounded; documents are never shuffled.
 
 Defined cases: null or empty texts, and items of fewer than `n` words, match by what they have: an
 item shorter than `n` words is seeded by its whole word sequence, one without words matches
@@ -50,28 +53,28 @@ def words_of(text: str | None) -> list[str]:
 
 
 def align(passage: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
-    """(score, first, end) of the best local alignment of two word number sequences, in passage words."""
+    """(score, first, end) of the best local alignment of two word number sequences, in passage words.
+
+    One row of the recurrence is kept. A cell holds its score above the 32 bits that say where its alignment begins,
+    earlier places being larger, so the maximum of two cells is the better one, or the earlier of two that are equal."""
     m = passage.size
-    gaps = -GAP * np.arange(m + 1)
-    above = np.zeros(m + 1, np.int32)
-    rows = [above]
+    one = 1 << 32
+    places = np.arange(m + 1, dtype=np.int64)
+    fresh_start = (one - 1) - places  # score 0, beginning here
+    gaps = -GAP * one * places
+    above = fresh_start.copy()
+    score, first, end = 0, 0, 0
     for w in item:
-        fresh = np.zeros(m + 1, np.int32)
-        fresh[1:] = np.maximum(above[:-1] + np.where(passage == w, MATCH, MISMATCH), above[1:] + GAP)
-        np.maximum(fresh, 0, out=fresh)
-        fresh = np.maximum.accumulate(fresh + gaps) - gaps  # gaps in the item
-        rows.append(above := fresh.astype(np.int32))
-    table = np.array(rows)
-    i, j = np.unravel_index(int(np.argmax(table)), table.shape)
-    score, end = int(table[i, j]), int(j)
-    while table[i, j] > 0:
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if passage[j - 1] == item[i - 1] else MISMATCH):
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(j), end
+        row = fresh_start.copy()
+        row[1:] = np.maximum(above[:-1] + np.where(passage == w, MATCH * one, MISMATCH * one), above[1:] + GAP * one)
+        np.copyto(row, fresh_start, where=row < one)
+        row = np.maximum.accumulate(row + gaps) - gaps  # gaps in the item
+        np.copyto(row, fresh_start, where=row < one)
+        j = int(np.argmax(row >> 32))
+        if (best := int(row[j] >> 32)) > score:
+            score, first, end = best, one - 1 - int(row[j] & (one - 1)), j
+        above = row
+    return score, first, end
 
 
 def most(passage: np.ndarray, item: np.ndarray) -> int:
@@ -91,10 +94,12 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.ids = [i for i, _ in rows]
         self.words = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(t)], np.int64) for _, t in rows]
-        base = len(self.vocabulary) + 1
-        if base**n >= 1 << 62:
-            raise ValueError("the block has too many different words")
-        self.base = base
+        self.base = len(self.vocabulary) + 1
+        # codes that would not fit in 62 bits are numbered on the way: of each length below n the items' own n-grams
+        self.shorter: list[np.ndarray] | None = [] if self.base**n >= 1 << 62 else None
+        if self.shorter is not None:
+            for k in range(2, n + 1):
+                self.shorter.append(np.unique(np.concatenate([self.pack(w, k, False) for w in self.words if w.size >= k] or [np.zeros(0, np.int64)])))
         found: dict[int, set[int]] = defaultdict(set)
         for k, w in enumerate(self.words):
             for g in self.pack(w, min(n, w.size)).tolist() if w.size else ():
@@ -103,7 +108,7 @@ class Items:
         self.of = [sorted(found[g]) for g in self.codes.tolist()]
         self.lengths = sorted({min(n, w.size) for w in self.words if w.size})
 
-    def pack(self, w: np.ndarray, n: int) -> np.ndarray:
+    def pack(self, w: np.ndarray, n: int, numbered: bool = True) -> np.ndarray:
         """Codes of the n-grams; 0 where one holds an unknown word. Codes of different n differ."""
         if w.size < n:
             return np.zeros(0, np.int64)
@@ -112,6 +117,13 @@ class Items:
             part = w[i : w.size - n + 1 + i]
             code = code * self.base + part
             known &= part > 0
+            if self.shorter is not None and i and (numbered or i < n - 1):
+                table = self.shorter[i - 1]
+                at = np.minimum(np.searchsorted(table, code), max(table.size - 1, 0))
+                known &= table[at] == code if table.size else False
+                code = at
+        if self.shorter is not None and numbered:
+            code = code * (self.n + 1) + n
         return np.where(known, code, 0)
 
     def numbers(self, text: str) -> np.ndarray:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
@@ -227,10 +228,81 @@ def test_alignment():
     rng = np.random.default_rng(4)
     for _ in range(60):
         a, b = rng.integers(1, 6, rng.integers(1, 30)), rng.integers(1, 6, rng.integers(1, 20))
-        assert decontamination.align(a, b)[0] == brute_align(a, b)
+        score, first, end = decontamination.align(a, b)
+        assert score == brute_align(a, b) == brute_align(a[first:end], b)
         assert decontamination.most(a, b) >= brute_align(a, b)
 
 
+def test_wide_vocabularies_are_numbered():
+    """Codes that don't fit in 62 bits name the same n-grams as those that do."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"v{rng.randint(0, 9)}" for _ in range(rng.choice([2, 5, 40])))) for i in range(30)]
+    narrow, wide = decontamination.Items(rows, 3), decontamination.Items([*rows, (99, " ".join(f"z{i}" for i in range(1_700_000)))], 3)
+    assert narrow.shorter is None and wide.shorter is not None
+    for _ in range(20):
+        text = " ".join(f"v{rng.randint(0, 12)}" for _ in range(300))
+        found = [{(int(p), tuple(k for k in items.of[g] if k < 30)) for p, g in zip(*items.hits(items.numbers(text)))} for items in (narrow, wide)]
+        assert found[0] == found[1] and found[0]
+
+
+def test_alignment_memory_grows_with_the_passage_alone():
+    passage = np.random.default_rng(1).integers(1, 50, 2_000_000)
+    item = passage[1_000_000:1_000_060].copy()
+    tracemalloc.start()
+    assert decontamination.align(passage, item) == (120, 1_000_000, 1_000_060)
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
+def test_decontamination_against_brute_force(spark):
+    """Every document against every item, whole: passages that hold no three words of the item in a row apart."""
+    rng = random.Random(6)
+    items = {i: [f"i{i % 5}w{rng.randint(0, 40)}" for _ in range(rng.choice([2, 8, 30, 60]))] for i in range(12)}
+    texts = []
+    for d in range(150):
+        words = [f"o{rng.randint(0, 99)}" for _ in range(rng.randint(0, 80))]
+        for i in rng.sample(sorted(items), rng.choice([0, 1, 1, 2])):
+            share = rng.choice([0, 0.1, 0.2, 0.3, 0.4])
+            words += [w if rng.random() >= share else rng.choice([f"e{rng.randint(0, 99)}", f"{w} e1"]) for w in items[i][rng.choice([0, 0, len(items[i]) // 3]) :]]
+            words += [f"o{rng.randint(0, 99)}" for _ in range(rng.randint(0, 60))]
+        texts.append(" ".join(words))
+    texts += ["", " ".join(items[3] * 2000), None, texts[0], texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("score", F.lit("x"))
+    tests = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.contaminated(df, tests).collect()}
+    want = {}
+    for d, t in enumerate(texts):
+        passage = decontamination.words_of(t)
+        held = {tuple(passage[j : j + n]) for n in (2, 3) for j in range(len(passage))}
+        numbers = {w: n for n, w in enumerate(dict.fromkeys([*passage, *sum(items.values(), [])]))}
+        for i, w in items.items():
+            if any(tuple(w[j : j + min(3, len(w))]) in held for j in range(len(w) - min(3, len(w)) + 1)):
+                score = decontamination.align(np.array([numbers[x] for x in passage]), np.array([numbers[x] for x in w]))[0]
+                if score >= len(w):
+                    want[d, i] = score / (2 * len(w))
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    assert len(set(want) - set(got)) <= 0.02 * len(want) and len(want) > 100
+
+
+def test_decontamination_recall_of_edited_copies():
+    """Copies with words changed, dropped or put in at random, in long texts: at least 0.9 of those that align are found."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"i{i}w{j}" for j in range(rng.randint(19, 59)))) for i in range(60)]
+    items = decontamination.Items(rows, decontamination.SEED_WORDS)
+    chosen = decontamination.seeds(items, {g: 50 for g in range(items.codes.size)}, 10_000, decontamination.RARE_SHARE)
+    for share in (0.1, 0.2, 0.3):
+        aligned = hit = 0
+        for k, text in rows:
+            for _ in range(5):
+                copy = [x for w in text.split() for x in ([w] if rng.random() >= share else rng.choice([["e"], [], [w, "e"]]))]
+                w = items.numbers(" ".join(["before"] * 200 + copy + ["after"] * 200))
+                if decontamination.align(w, items.words[k])[0] >= decontamination.MIN_SCORE * 2 * items.words[k].size:
+                    aligned += 1
+                    hit += k in {x[0] for x in decontamination.passages(items, chosen, w, decontamination.MIN_SCORE)}
+        print("edits", share, "aligned", aligned, "of 300, found", hit)
+        assert aligned > 200 and hit >= 0.9 * aligned
+
+
 def edited_copies(rng, words):
     """Partial and edited copies of an item."""
     n = len(words)
