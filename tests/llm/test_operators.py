@@ -338,6 +338,7 @@ PUNCTUATED = {
     "mit.permission": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:',
     "mit.notice": "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.",
     "mit.warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\nFITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "mit.liability": "IN NO EVENT SHALL THE\nAUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER\nLIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,\nOUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE\nSOFTWARE.",
     "apache2.grant": "Licensed under the Apache License, Version 2.0.",
     "apache2.grant2": 'Licensed under the Apache License, Version 2.0 (the "License");',
     "apache2.released": "Released under the Apache License, Version 2.0.",
@@ -363,6 +364,18 @@ PUNCTUATED = {
     "bsd.names": "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
     "bsd3.licensed": "Licensed under the BSD 3-Clause License.",
     "bsd2.licensed": "Licensed under the BSD 2-Clause License.",
+    "bsd.warranty": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\nIMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED.',
+    "isc.permission": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.",
+    "isc.warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES\nWITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF\nMERCHANTABILITY AND FITNESS.',
+    "zerobsd.permission": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.",
+    "zlib.warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib.liability": "In no event will the authors be held liable for any damages arising from the\nuse of this software.",
+    "zlib.permission": "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:",
+    "bsl.permission": 'Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the "Software") to use, reproduce, display, distribute,\nexecute, and transmit the Software, and to prepare derivative works of the\nSoftware, and to permit third-parties to whom the Software is furnished to\ndo so, all subject to the following:',
+    "lgpl21.redistribute": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+    "lgpl3.redistribute": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl3.redistribute": "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Affero General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.",
+    "unlicense.anyone": "Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.",
     "isc.licensed": "Licensed under the ISC License.",
     "mpl2.subject": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "mpl2.licensed": "Licensed under the Mozilla Public License, version 2.0.",
@@ -386,14 +399,67 @@ PUNCTUATED = {
 }
 
 
+#: Forms of the templates.
+VARIED = {
+    "bsd.names_of": "3. Neither the name of Foo Bar Inc. nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.",
+    "bsd.warranty_by": 'THIS SOFTWARE IS PROVIDED BY JO DOE "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.',
+    "apache2.work_of": "Licensed to the Foo Foundation (FF) under one\nor more contributor license agreements.",
+    "copyright.line": "Copyright (c) 2020 2021 Jo Doe",
+}
+
+
+def test_licenses_in_comments_and_odd_spacing():
+    scan = license_scan.Scanner().scan
+    assert [x[:3] for x in scan("All rights\nreserved.")] == [x[:3] for x in scan("All   rights  reserved.")] == [("All-rights-reserved", "reserved.all", 1)]
+    assert [x[:2] for x in scan("This work is dedicated to the public\ndomain under CC0 1.0.")] == [("CC0-1.0", "cc0.dedicated")]
+    assert scan("Foo bar.\n  Released under the MIT License.\nmore") == [("MIT", "mit.grant", 1, 11, 42)]
+    assert [x[:2] for x in scan("Released under the\nMIT License\n")] == [("MIT", "mit.grant")]
+    words = PUNCTUATED["mit.permission"].split()
+    for mark in ("# ", "    // ", " * ", "\t;; " + " " * 200):
+        assert [x[:2] for x in scan("x = 1\n\n" + "".join(f"{mark}{w}\n" for w in words) + "\n")] == [("MIT", "mit.permission")], mark
+        whole = "\n".join(mark + line for k in ("mit.title", "mit.permission", "mit.notice", "mit.warranty", "mit.liability") for line in [*PUNCTUATED[k].split("\n"), ""])
+        assert [x[:3] for x in scan(whole)] == [("MIT", "mit.title", 5)], mark
+    for text in ("Released under GPLv3.", "// SPDX-License-Identifier: LGPL-2.1-or-later", "Covered by MPL 2.0", "This project is released under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."):
+        assert len(scan(text)) == 1, text
+
+
+def test_licenses_against_how_the_texts_were_made(spark):
+    """Documents put together from notices and other sentences: exactly the notices are found, in order, at their places."""
+    rng = random.Random(11)
+    # the MPL form goes on with a sentence that is not of the rule
+    notices = [(n, ids) for n, ids in license_scan.RULES if all(k in PUNCTUATED and k != "mpl2.subject" for k in ids)]
+    other = ["The river is wide.", "Software is hard to write.", "Nothing is licensed here at all.", "Copyright law differs.", "x = 1;", "Permission was not asked!"]
+    texts, want = [], []
+    for d in range(200):
+        text = ""
+        for _ in range(rng.randint(0, 6)):
+            if rng.random() < 0.5:
+                text += " ".join(rng.choices(other, k=rng.randint(3, 60))) + rng.choice(["\n\n", "\n \n"])
+            else:
+                name, ids = rng.choice(notices)
+                # far enough from the notice before for no rule to reach over
+                text += " ".join(["Words between notices."] * 20) + "\n\n"
+                notice = rng.choice(["\n", "\n\n"]).join(PUNCTUATED[k] for k in ids)
+                want.append((d, name, ids[0], len(ids), len(text), len(text) + len(notice)))
+                text += notice + "\n\n"
+        texts.append(text)
+    got = license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    same(got, want)
+
+
 def test_every_license_sentence_and_rule_is_found():
     scanner = license_scan.Scanner()
     assert PUNCTUATED.keys() == license_scan.SENTENCES.keys()
     for k, s in PUNCTUATED.items():
         for text in (s, f"int a;\n{s}\nint b;" if "\n" not in s else f"int a;\n\n{s}\n\nint b;", f"Some words. {s}"):
             assert k in {x[2] for x in scanner.identify(text)}, (k, text)
+    for k, s in VARIED.items():
+        assert k in {x[2] for x in scanner.identify(f"x\n\n{s}\n")}, k
+    made, rules = license_scan.by_rule()
+    for licence, (k,) in rules:
+        assert [x[0].removesuffix("-or-later") for x in scanner.scan(f"One.\n{made[k]}.\nTwo.")] == [licence.removesuffix("-or-later")], k
     for name, ids in license_scan.RULES:
-        text = "\n\n".join(PUNCTUATED[k] for k in ids)
+        text = "\n\n".join((PUNCTUATED | VARIED)[k] for k in ids)
         assert [(x[0], x[1], x[2]) for x in scanner.scan(text)] == [(name, ids[0], len(ids))], (name, ids)
     notice = PUNCTUATED["gpl2.redistribute"]
     assert scanner.scan(f"x\n\n{notice}") == [("GPL-2.0-or-later", "gpl2.redistribute", 1, 3, 3 + len(notice))]
