@@ -12,7 +12,8 @@ aggregation, and only the profiles (languages x `profile_size` rows) reach the d
 Defined cases: `und` with score 0 if the text is null or has no letter, or if nothing was learned.
 Languages at equal distance: the smaller name. N-grams of equal count rank by code points. Rows
 with a null text or language teach nothing; a row with a null id counts as held out. Repeated rows
-count as often as they stand. Empty tables give empty results; further columns are not read.
+count as often as they stand. Texts of any length are read whole. Empty tables give empty results; further columns are not
+read, and `predict` returns them, but for those that its own two replace.
 """
 
 from __future__ import annotations
@@ -133,14 +134,15 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", profi
 
 
 def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
-    """docs with two more columns."""
+    """docs with two more columns, which take the place of columns of their names."""
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    kept = [i for i, c in enumerate(docs.columns) if c not in (pred_col, score_col)]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [profiles.predict(t.as_py()) for t in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

@@ -207,15 +207,15 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return every.groupBy(F.pmod("shard", F.lit(groups)).alias("group")).applyInArrow(_shard_links(radius), _LINKS)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(v, root) for all vertices of edges (a, b); root is the smallest vertex that can be reached.
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b) for all vertices a of edges (a, b) but the smallest of each component, which is b.
 
     Large-star joins every vertex's larger neighbours to its smallest one, small-star its smaller ones; both are
     one aggregation over the edges, and the edges become stars after a few rounds (their number is logarithmic
-    in the vertices). A vertex's neighbours are never gathered: they meet their vertex's minimum in a join that
+    in the vertices); the rounds end when nothing changes. A vertex's neighbours are never gathered: they meet their vertex's minimum in a join that
     AQE can split."""
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    for _ in range(rounds):
+    while True:
         before = now
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
@@ -228,8 +228,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         for x in (before, low, large, low2):
             discard(x)
         if same:
-            return now.select(F.col("a").alias("v"), F.col("b").alias("root"))
-    raise RuntimeError("the components didn't settle")
+            return now
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,10 +239,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, radius:
     known = stored(made.groupBy("fp").agg(F.min("doc_id").alias("first")))
     stars = components(links(known.select("fp"), radius))
     # the smallest id of each component; fingerprints without links are their own
-    rooted = known.join(stars.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = stored(rooted)
+    rooted = stored(known.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     firsts = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = stored(rooted.join(firsts, "root").select("fp", "component_id"))
+    for x in (known, stars, rooted, firsts):
+        discard(x)
     return made.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), BITS // 4, "0")).alias("fingerprint"), "component_id")
 
 
