@@ -330,7 +330,23 @@ def html_encode(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", S.html_encode(F.col("url")).alias("html"))
 
 
-@query("highlight_lines")
+_SHOWN = "array_to_string(list_transform(regexp_extract_all(x, '[\\p{L}\\p{Nd}_]+|[^\\p{L}\\p{Nd}_]+'), lambda w: CASE WHEN upper(w) IN ('UND', 'SCHUNGVER') THEN '<B>' || w || '</B>' ELSE replace(replace(replace(replace(w, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') END), '')"
+_LINES = f"""
+WITH line AS (
+  SELECT id, unnest(ls) AS x, generate_subscripts(ls, 1) - 1 AS i, len(ls) AS n FROM (SELECT id, string_split(text, chr(10)) AS ls FROM {_DOCS} WHERE {has('UND')})
+), scored AS (
+  SELECT *, len(list_distinct(list_filter(list_transform(regexp_extract_all(x, '[\\p{{L}}\\p{{Nd}}_]+'), lambda w: upper(w)), lambda w: w IN ('UND', 'SCHUNGVER')))) AS s FROM line
+), best AS (SELECT id, i, n FROM scored WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, i) <= 3),
+near AS (SELECT DISTINCT id, unnest(generate_series(greatest(0, i - 2), least(n - 1, i + 2))) AS i FROM best),
+told AS (
+  SELECT id, i, n, {_SHOWN} AS shown, lag(i) OVER (PARTITION BY id ORDER BY i) AS before, len(CAST(max(i) OVER (PARTITION BY id) AS VARCHAR)) AS digits FROM near JOIN line USING (id, i)
+)
+SELECT id, string_agg(CASE WHEN before <> i - 1 THEN ' .. ' || chr(10) ELSE '' END || '<span class=''line''>L' || lpad(CAST(i + 1 AS VARCHAR), CAST(greatest(digits, len(CAST(i + 1 AS VARCHAR))) AS INTEGER), '0') || ': </span>' || shown || CASE WHEN i < n - 1 THEN chr(10) ELSE '' END, '' ORDER BY i) AS fragment
+FROM told GROUP BY id
+"""
+
+
+@query("highlight_lines", _LINES)
 def highlight_lines(spark, sf_dir):
     shown = highlight.LineHighlight(parse("c:(und #schungver)")).fragments(F.col("content"))
     return by_path(docs_index(spark, sf_dir).query("c:und")).select("id", shown.alias("fragment"))

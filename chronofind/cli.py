@@ -81,7 +81,7 @@ def main(args: list[str] | None = None) -> int:
     if o.command == "create" and store.exists():
         print("the index exists", file=sys.stderr)
         return 1
-    properties = {"repository_local_uri": o.repository, "repository_name": o.name or o.repository.rpartition("/")[2], "repository_external_uri": o.external_uri or o.repository}
+    properties = {"repository_id": repo.repository_id(), "repository_local_uri": o.repository, "repository_name": o.name or o.repository.rpartition("/")[2], "repository_external_uri": o.external_uri or o.repository}
     if o.command == "create":
         properties["single_revision"] = o.single_revision
 
@@ -94,7 +94,11 @@ def main(args: list[str] | None = None) -> int:
         start, stop = store.properties()["revision"] + 1, min(o.max_revision, repo.youngest())
         for first in range(start, stop + 1, o.commit_interval):
             apply_batch(store, repo.revisions(first, min(first + o.commit_interval - 1, stop)), enrich, o.path_filter, properties)
-        store.compact()
+        # a new index is always compacted, an old one every so many revisions
+        if o.command == "create" or o.optimize and (stop % o.optimize == 0 or stop - start >= o.optimize):
+            store.compact()
+        if start > stop and store.exists():
+            store.set_properties(**properties)
     return 0
 
 

@@ -41,30 +41,34 @@ class Highlighter(ABC):
 
 
 class LineHighlight(Highlighter):
-    """The best lines with their neighbours and numbers."""
+    """The best lines with their neighbours and numbers; lines keep their ends."""
 
     def __init__(self, tree: Group, best: int = 3, around: int = 2):
         super().__init__(tree)
         self.best, self.around = best, around
 
     def fragments(self, content: Column) -> Column:
-        return let(F.split(F.coalesce(content, F.lit("")), r"\r\n|\r|\n", -1), self._of_lines)
+        text = F.coalesce(content, F.lit(""))
+        ends = F.regexp_extract_all(text, F.lit(r"\r\n|\r|\n"), 0)
+        return let(F.split(text, r"\r\n|\r|\n", -1), lambda lines: let(ends, lambda e: self._of_lines(lines, e)))
 
-    def _of_lines(self, lines: Column) -> Column:
+    def _of_lines(self, lines: Column, ends: Column) -> Column:
         scored = F.filter(F.transform(lines, lambda x, i: F.struct((-self.score(x)).alias("s"), i.alias("i"))), lambda x: x.s < 0)
         top = F.slice(F.array_sort(scored), 1, self.best)
         n = F.size(lines)
         near = F.flatten(F.transform(top, lambda x: F.sequence(F.greatest(F.lit(0), x.i - self.around), F.least(n - 1, x.i + self.around))))
 
         def shown(numbers: Column) -> Column:
-            digits = F.length((F.array_max(numbers) + 1).cast("string"))
+            # as wide as the largest number counted from 0
+            digits = F.length(F.array_max(numbers).cast("string"))
 
             def line(i: Column, k: Column) -> Column:
-                gap = F.when((k > 0) & (F.get(numbers, k - 1) != i - 1), F.lit(" .. ")).otherwise(F.lit(""))
-                label = F.concat(F.lit("<span>L"), F.lpad((i + 1).cast("string"), digits, F.lit("0")), F.lit(": </span>"))
-                return F.concat(gap, label, self.marked(F.get(lines, i)))
+                gap = F.when((k > 0) & (F.get(numbers, k - 1) != i - 1), F.lit(" .. \n")).otherwise(F.lit(""))
+                number = (i + 1).cast("string")
+                label = F.concat(F.lit("<span class='line'>L"), F.lpad(number, F.greatest(digits, F.length(number)), F.lit("0")), F.lit(": </span>"))
+                return F.concat(gap, label, self.marked(F.get(lines, i)), F.coalesce(F.get(ends, i), F.lit("")))
 
-            return F.array_join(F.transform(numbers, line), "\n")
+            return F.array_join(F.transform(numbers, line), "")
 
         return let(F.array_sort(F.array_distinct(near)), shown)
 

@@ -52,6 +52,18 @@ def expand_copies(changes: DataFrame, listing: DataFrame) -> DataFrame:
     return _explicit_first(changes.withColumn("_implied", F.lit(0)).unionByName(more.withColumn("_implied", F.lit(1))))
 
 
+def expand_sources(changes: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds an Add for everything below the source of a copied folder. changes: with copy_from and copy_revision (null: the
+    revision before); known: (path, rev_first, rev_last), versions of what lies below the sources."""
+    copies = changes.filter("is_copy and copy_from is not null and change in ('Add', 'Replace')")
+    copies = copies.select("revision", F.col("path").alias("target"), F.rtrim(F.col("copy_from"), F.lit("/")).alias("path"), F.coalesce("copy_revision", F.col("revision") - 1).alias("at"))
+    below = known.select(F.col("path").alias("child"), "rev_first", "rev_last", F.explode(ancestors(F.col("path"))).alias("path"))
+    found = copies.join(below, "path").filter("rev_first <= at and at <= rev_last")
+    child = F.concat("target", F.substr("child", F.length("path") + 1))
+    more = found.select("revision", F.lit("Add").alias("change"), child.alias("path"), F.lit(True).alias("is_copy"))
+    return _explicit_first(changes.select("revision", "change", "path", "is_copy").withColumn("_implied", F.lit(0)).unionByName(more.withColumn("_implied", F.lit(1))))
+
+
 def expand_deletes(changes: DataFrame) -> DataFrame:
     """Adds a Delete of every path below a deleted or replaced one; `_implied` marks them."""
     opened = changes.filter("change <> 'Delete'").select("path").distinct()
@@ -83,9 +95,21 @@ def highest_revision(items: DataFrame) -> DataFrame:
     return items.groupBy("path").agg(F.when(last == HEAD, F.max("rev_first")).otherwise(F.lit(0)).cast("int").alias("revision"))
 
 
+#: Levels of dyadic stretches that revisions are cut in: the largest revision is below 2 ^ LEVELS.
+LEVELS = 27
+
+
 def as_of(items: DataFrame, revisions: DataFrame) -> DataFrame:
-    """Every item version once for each of the revisions at which it is valid. revisions: (revision)."""
-    return items.join(revisions, (F.col("rev_first") <= F.col("revision")) & (F.col("revision") <= F.col("rev_last")))
+    """Every item version once for each of the revisions at which it is valid. revisions: (revision), each once.
+
+    An interval is cut in at most 2 * LEVELS dyadic stretches and a revision lies in one stretch of each level, so the two
+    meet by equality, at most once."""
+    cut = F.expr(f"""aggregate(sequence(0, {LEVELS}), struct(rev_first as l, rev_last + 1 as r, cast(array() as array<struct<level: int, node: int>>) as cover), (s, i) -> if(s.l >= s.r, s, struct(
+        cast((s.l + 1) div 2 as int) as l, cast(s.r div 2 as int) as r,
+        concat(s.cover, filter(array(struct(i as level, s.l as node), struct(i as level, s.r - 1 as node)), (x, k) -> if(k = 0, s.l, s.r) % 2 = 1)) as cover)), s -> s.cover)""")
+    stretches = F.explode(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col("revision"), i).cast("int").alias("node"))))
+    wanted = revisions.select("revision", stretches.alias("_stretch"))
+    return items.withColumn("_stretch", F.explode(cut)).join(wanted, "_stretch").drop("_stretch")
 
 
 def chunks(start: int, stop: int, interval: int) -> list[tuple[int, int]]:

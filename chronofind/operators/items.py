@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronofind.functions.analyzer import MAX_TERMS, path_tokens, simple_tokens
+from chronofind.functions.analyzer import MAX_TERMS, TOKENIZERS
 from chronofind.functions.scalars import HEAD, packed_size
 
 MAX_INDEXED_BYTES = 1 << 20
@@ -33,7 +33,11 @@ def from_properties(rows: DataFrame) -> DataFrame:
     return rows.withColumn("props", F.map_filter("props", lambda k, _: ~k.isin(*OWN)))
 
 
-def analysed(rows: DataFrame, cap: int = MAX_TERMS, kind: Column | None = None) -> DataFrame:
+#: Tokenizers of the fields, by their names in TOKENIZERS; others may be given.
+FIELDS = {"path": "path", "content": "simple", "message": "simple", "externals": "path"}
+
+
+def analysed(rows: DataFrame, cap: int = MAX_TERMS, kind: Column | None = None, tokenizers: dict[str, str] | None = None) -> DataFrame:
     """Items with ids, lower-cased authors, packed sizes and token arrays. Missing columns become null, missing
     revisions HEAD."""
     for name, kind_of in _DEFAULTS.items():
@@ -44,11 +48,8 @@ def analysed(rows: DataFrame, cap: int = MAX_TERMS, kind: Column | None = None)
         rows = rows.withColumn("id", F.when(F.startswith("path", F.lit("$")), F.col("path")).otherwise(F.concat("path", F.lit("@"), F.col("rev_first").cast("string"))))
     return rows.withColumns({
         "size_packed": F.when(~F.coalesce("is_dir", F.lit(False)), packed_size(F.col("size_bytes"))),
-        "path_tokens": path_tokens(F.col("path"), cap),
-        "content_tokens": simple_tokens(F.col("content"), cap),
-        "message_tokens": simple_tokens(F.col("message"), cap),
-        "externals_tokens": path_tokens(F.col("externals"), cap),
-        "prop_tokens": F.transform_values(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda _, v: simple_tokens(v, cap)),
+        **{f"{field}_tokens": TOKENIZERS[name](F.col(field), cap) for field, name in (FIELDS | (tokenizers or {})).items()},
+        "prop_tokens": F.transform_values(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda _, v: TOKENIZERS["simple"](v, cap)),
     })
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from chronofind.functions import scalars as S
-from chronofind.plans.compiler import Compiler, tokens_of
+from chronofind.operators.rank import ranked
+from chronofind.plans.compiler import Compiler, content_words, tokens_of
 from chronofind.plans.parser import Group, normalise, parse
 
 HEAD, ALL = S.HEAD, S.ALL
@@ -50,7 +51,8 @@ def from_url(parameters: dict[str, str]) -> tuple[str, int, int]:
 class Index:
     """A DataFrame of analysed items that can be asked."""
 
-    def __init__(self, items: DataFrame, single_revision: bool = False, strict: bool = False):
+    def __init__(self, items: DataFrame, single_revision: bool = False, strict: bool = True):
+        """strict: a wildcard that stands for more than MAX_WILDCARD_TERMS terms is an error."""
         self.items, self.single_revision = items, single_revision
         self.compiler = Compiler(self.count_terms, strict)
 
@@ -71,6 +73,13 @@ class Index:
             found = found.filter(when)
         return found.filter(self.compiler.predicate(tree))
 
+    def by_relevance(self, text: str, first: int = HEAD, last: int | None = None) -> DataFrame:
+        """The items that a query finds with their `score`, the best first, by its plain content words; ties by id."""
+        tree = parse(text)
+        words = sorted(w[1:-1] if w.startswith("^") else w for w in content_words(tree)[0])
+        scored = Index(ranked(self.items, words), self.single_revision) if words else Index(self.items.withColumn("score", F.lit(0.0)), self.single_revision)
+        return scored.matching(tree, first, last).orderBy(F.desc("score"), "id")
+
     def hit_by_id(self, item_id: str) -> dict | None:
         rows = self.items.filter(F.col("id") == item_id).limit(2).collect()
         return rows[0].asDict(recursive=True) if len(rows) == 1 else None

@@ -7,6 +7,7 @@ that changed it.
 
 from __future__ import annotations
 
+import uuid
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,10 @@ class ParquetRepository:
     def youngest(self) -> int:
         return self.spark.read.parquet(f"{self.path}/revisions").agg(F.coalesce(F.max("revision"), F.lit(0))).first()[0]
 
+    def repository_id(self) -> str:
+        """The same for one place, whenever it is asked."""
+        return str(uuid.uuid5(uuid.NAMESPACE_URL, self.path))
+
     def message(self, revision: int) -> str:
         row = self.revisions(revision, revision).select("message").first()
         return row[0] if row else ""
@@ -52,7 +57,10 @@ class ParquetRepository:
 
 def enriched(versions: DataFrame, nodes: DataFrame, revisions: DataFrame) -> DataFrame:
     """Versions with metadata and content of their first revision and that revision's author, time and message.
-    Paths with `:`, `$` or a backslash have no metadata."""
+    Paths with `:`, `$` or a backslash have no metadata. Content whose line ends differ, although a property fixes them, is empty."""
+    kinds = sum((F.col("content").rlike(x).cast("int") for x in (r"\r\n", r"(?<!\r)\n", r"\r(?!\n)")), F.lit(0))
+    mixed = F.try_element_at("props", F.lit("svn:eol-style")).isNotNull() & (kinds > 1)
+    nodes = nodes.withColumn("content", F.when(F.coalesce(mixed, F.lit(False)), F.lit("")).otherwise(F.col("content")))
     known = nodes.select("path", F.col("revision").alias("rev_first"), "is_dir", F.col("size").alias("size_bytes"), F.regexp_replace("content", "^﻿", "").alias("content"), "props")
     known = known.filter(~F.col("path").rlike(r"[:$\\]"))
     log = revisions.select(F.col("revision").alias("rev_first"), "author", "ts", "message")

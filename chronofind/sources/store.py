@@ -10,6 +10,9 @@ at a time holds the lock file.
 from __future__ import annotations
 
 import json
+import os
+import socket
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -19,13 +22,22 @@ from pyspark.sql import functions as F
 from chronofind.functions.scalars import HEAD
 
 BUCKETS = 64
-PROPERTIES = {"revision": 0, "repository_name": "", "repository_local_uri": "", "repository_external_uri": "", "single_revision": False}
+PROPERTIES = {"revision": 0, "repository_id": "", "repository_name": "", "repository_local_uri": "", "repository_external_uri": "", "single_revision": False}
+
+
+#: Seconds after which a lock is taken to be left over.
+STALE = 6 * 3600.0
+
+
+class Locked(RuntimeError):
+    pass
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         jvm = spark.sparkContext._jvm
+        self._work: list[str] = []
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -54,15 +66,59 @@ class Store:
         if not self._fs.rename(hidden, self._path(f"{self.root}/manifest/{manifest['version']}.json")):
             raise RuntimeError("another writer has committed")
 
+    def _owner(self, lock) -> str:
+        stream = self._fs.open(lock)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
     @contextmanager
-    def writing(self):
-        """One writer at a time."""
+    def writing(self, stale: float = STALE):
+        """One writer at a time. A lock that is older than `stale` seconds was left by a writer that is gone, and is taken over."""
         lock = self._path(f"{self.root}/_lock")
-        self._fs.create(lock, False).close()
+        mine = f"{socket.gethostname()} {os.getpid()} {uuid.uuid4().hex}"
+        if self._fs.exists(lock):
+            owner, _, since = self._owner(lock).rpartition(" ")
+            if not since or time.time() - float(since) <= stale:
+                raise Locked(f"{owner or 'another writer'} has held the lock since {time.ctime(float(since or 0))}")
+            self._fs.delete(lock, False)
+        try:
+            out = self._fs.create(lock, False)
+        except Exception as e:
+            raise Locked("another writer has just taken the lock") from e
+        out.write(bytearray(f"{mine} {time.time()}".encode()))
+        out.close()
         try:
             yield self
         finally:
-            self._fs.delete(lock, False)
+            if self._fs.exists(lock) and self._owner(lock).startswith(mine):
+                self._fs.delete(lock, False)
+
+    # work tables of a commit
+
+    @contextmanager
+    def scratch(self):
+        """Gives a function that writes a table beside the index and reads it again; all are deleted at the end."""
+        made: list[str] = []
+
+        def written(df: DataFrame) -> DataFrame:
+            made.append(f"{self.root}/work/{uuid.uuid4().hex}")
+            df.write.parquet(made[-1])
+            return self.spark.read.schema(df.schema).parquet(made[-1])
+
+        try:
+            yield written
+        finally:
+            for place in made:
+                self._fs.delete(self._path(place), True)
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """A work table that stays until the next commit is done."""
+        place = f"{self.root}/work/{uuid.uuid4().hex}"
+        df.write.parquet(place)
+        self._work.append(place)
+        return self.spark.read.schema(df.schema).parquet(place)
 
     # reading
 
@@ -111,6 +167,8 @@ class Store:
             self._upsert(items, properties)
         finally:
             items.unpersist()
+            while self._work:
+                self._fs.delete(self._path(self._work.pop()), True)
 
     def _upsert(self, items: DataFrame, properties: dict | None) -> None:
         m = self.manifest()

@@ -1,5 +1,6 @@
 import glob
 import os
+import random
 import subprocess
 import sys
 
@@ -7,13 +8,15 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from chronofind import catalogue, cli
+from chronofind import catalogue, cli, further
 from chronofind.cache import ResultCache
 from chronofind.functions import scalars as S
-from chronofind.operators import highlight, history
-from chronofind.operators.items import from_properties, indexable
+from chronofind.operators import highlight, history, rank
+from chronofind.operators.items import analysed, from_properties, indexable
+from chronofind.operators.search import Index
+from chronofind.plans.compiler import TooManyTerms
 from chronofind.plans.parser import parse
-from chronofind.sources.store import Store, open_stores
+from chronofind.sources.store import Locked, Store, open_stores
 from chronofind.streaming import updates
 
 SF = "/root/testdata/sf0.001"
@@ -80,10 +83,72 @@ def test_incremental_equals_batch(spark, tmp_path):
     assert store.items().count() == items.count() and store.properties()["repository_name"] == "x"
 
 
+def test_as_of_meets_every_revision_once(spark):
+    rng = random.Random(1)
+    items = [(f"/p{i}", a, rng.choice([a, a + rng.randint(0, 900), S.HEAD])) for i, a in enumerate(rng.choices(range(1, 1000), k=150))]
+    wanted = sorted(rng.sample(range(1, 2000), 60)) + [S.HEAD]
+    got = history.as_of(spark.createDataFrame(items, "path string, rev_first int, rev_last int"), spark.createDataFrame([(r,) for r in wanted], "revision int"))
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert sorted((r.path, r.revision) for r in got.collect()) == sorted((p, r) for p, a, b in items for r in wanted if a <= r <= b)
+
+
+def test_postings_group_inside_the_row(spark):
+    rows = [("1", ["B", "A", "B"]), ("2", []), ("3", ["A"])]
+    items = spark.createDataFrame(rows, "id string, content_tokens array<string>")
+    got = rank.postings(items, ("content",))
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    assert sorted((r.term, r.id, r.tf, r.positions) for r in got.collect()) == [("A", "1", 1, [1]), ("A", "3", 1, [0]), ("B", "1", 2, [0, 2])]
+    assert sorted(map(tuple, rank.term_stats(items).collect())) == [("A", 2, 2), ("B", 1, 2)]
+
+
+def test_one_writer(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "index"))
+    with store.writing():
+        with pytest.raises(Locked, match=str(os.getpid())):
+            with store.writing():
+                pass
+        # a lock that its writer has left is taken over, and not taken away by the old one
+        with store.writing(stale=-1):
+            pass
+    with store.writing():
+        pass
+    assert not (tmp_path / "index" / "_lock").exists()
+
+
+def test_folder_copies_and_late_revisions(spark, tmp_path):
+    log = [
+        (1, [("Add", "/t", False, None, None), ("Add", "/t/a", False, None, None), ("Add", "/t/d/b", False, None, None)]),
+        (2, [("Modify", "/t/a", False, None, None)]),
+        (3, [("Add", "/b", True, "/t", 1), ("Delete", "/b/d/b", False, None, None), ("Add", "/tags/v", True, "/t", 2)]),
+        (5, [("Replace", "/b", True, "/t/", None)]),
+    ]
+    df = spark.createDataFrame([(r, "", None, "", c) for r, c in log], further.REVISIONS)
+    want = {("/t", 1, S.HEAD), ("/t/a", 1, 1), ("/t/a", 2, S.HEAD), ("/t/d/b", 1, S.HEAD), ("/b", 3, 4), ("/b/a", 3, 4), ("/b", 5, S.HEAD), ("/b/a", 5, S.HEAD), ("/b/d/b", 5, S.HEAD)}
+    for n, cuts in enumerate(((0, 9), (0, 2, 9), (0, 1, 3, 9))):
+        store = Store(spark, str(tmp_path / f"index{n}"), buckets=2)
+        for a, b in zip(cuts, cuts[1:]):
+            updates.apply_batch(store, df.filter(F.col("revision").between(a + 1, b)))
+        assert {tuple(r) for r in store.items().filter("kind = 'item'").select("path", "rev_first", "rev_last").collect()} == want
+        assert not any((tmp_path / f"index{n}" / "work").glob("*"))
+    with pytest.raises(updates.LateRevision, match="revision 4 comes after revision 5"):
+        updates.apply_batch(store, spark.createDataFrame([(4, "", None, "", log[1][1])], further.REVISIONS))
+    assert updates.apply_batch(store, df) == 5
+
+
+def test_relevance_and_wildcard_limit(spark):
+    rows = [(f"/{i}", " ".join([f"w{i}x{j}" for j in range(600)] + ["owl"] * i)) for i in range(3)]
+    index = Index(analysed(spark.createDataFrame(rows, "path string, content string")))
+    assert [r.path for r in index.by_relevance("c:owl").collect()] == ["/2", "/1"]
+    with pytest.raises(TooManyTerms):
+        index.query("c:w*")
+    assert index.query("c:w1*").count() == 1
+
+
 def test_highlight(spark):
     text = "one\ntwo needle <b>\nthree\nfour\nfive\nsix\nseven\neight needle"
     tree = parse("c:needle")
     lines = one(spark, highlight.LineHighlight(tree, around=1).fragments(F.lit(text)))
+    assert lines.startswith("<span class='line'>L1: </span>one\n<span class='line'>L2: </span>two <B>needle</B> &lt;b&gt;\n") and lines.endswith("L8: </span>eight <B>needle</B>")
     assert "two <B>needle</B> &lt;" in lines and " .. " in lines and "L8: " in lines and "five" not in lines
     assert one(spark, highlight.LineHighlight(tree).fragments(F.lit("none"))) == ""
     assert "<B>needle</B>" in one(spark, highlight.SimpleHighlight(tree).fragments(F.lit(text)))
@@ -115,7 +180,7 @@ def test_cache(spark):
     assert cache.sweep() == 1
 
 
-SOME = ["term_should", "phrase_three", "gap_mixed", "path_gap", "externals_host", "content_or_path", "intervals", "rev_range", "delete_expansion", "copy_expansion", "hit_projection", "page_two", "export_tsv", "rank_tfidf", "highest_revision"]
+SOME = ["term_should", "phrase_three", "gap_mixed", "path_gap", "externals_host", "content_or_path", "intervals", "rev_range", "delete_expansion", "copy_expansion", "hit_projection", "page_two", "export_tsv", "rank_tfidf", "highest_revision", "highlight_lines", "postings", "as_of_revisions", "repo_log", "repo_versions", "upsert_replay", "stream_copies", "late_revision", "lexer_tokens", "cli_options", "hit_summary", "relevance_order"]
 
 
 @pytest.mark.parametrize("name", SOME)
