@@ -408,16 +408,17 @@ def op2_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT r, doc_id, h, unnest(generate_series(1, len(h) // 2)) AS i FROM d),
-win AS (SELECT r, doc_id, i, md5_number(substr(h, 2 * i - 1, 100)) AS k FROM b WHERE i + 49 <= len(h) // 2),
-low AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
-hit AS (SELECT r, i FROM win JOIN low USING (k) WHERE m < doc_id),
+x AS (SELECT r, doc_id, list_transform(generate_series(1, len(h) // 2), lambda i: substr(substr(h, 200 * ((i - 1) // 100) + 1, 400), 2 * ((i - 1) % 100) + 1, 100)) AS w FROM d),
+win AS (SELECT r, doc_id, unnest(w) AS s, generate_subscripts(w, 1) AS i FROM x),
+low AS (SELECT s AS k, min(doc_id) AS m FROM win WHERE len(s) = 100 GROUP BY s),
+hit AS (SELECT r, i FROM win JOIN low ON k = s WHERE m < doc_id),
 gone AS (
-  SELECT b.r, b.i, substr(h, 2 * b.i - 1, 2) AS x, count(hit.i) OVER (PARTITION BY b.r ORDER BY b.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
-  FROM b LEFT JOIN hit ON hit.r = b.r AND hit.i = b.i
+  SELECT win.r, win.i, s[1:2] AS x, count(hit.i) OVER (PARTITION BY win.r ORDER BY win.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM win LEFT JOIN hit ON hit.r = win.r AND hit.i = win.i WHERE win.r IN (SELECT r FROM hit)
 ),
 spans AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS starts FROM gone),
 told AS (SELECT r, count(*) FILTER (gone) AS n, count(*) FILTER (starts) AS s, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM spans GROUP BY r)
-SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(s, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE coalesce(kept, '') END)) AS kept_sha256
 FROM d LEFT JOIN told USING (r)
 """
