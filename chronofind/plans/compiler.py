@@ -1,12 +1,14 @@
 """Clause trees to Column predicates over items.
 
-Cheap tests come first: exact words of a phrase are looked up in the token array before positions
-are compared. Plain phrases are compared by array expressions; phrases with gaps run the span kernel
-in an Arrow-batched function, which sees only the token lists that passed the lookups.
+Cheap tests come first: exact words of a phrase are looked up in the token array before places
+are compared. Plain phrases, and two plain phrases with a gap between them, are one regular expression over the
+tokens joined by blanks (no token holds one). Other phrases with gaps run the span kernel in an Arrow-batched
+function, which sees only the token lists that passed the lookups.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
@@ -14,11 +16,10 @@ from operator import and_, or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chronofind.functions.scalars import let
 from chronofind.operators import spans
 
 from .parser import Group, Leaf
-from .phrase import Near, Term, variants, wildcard_regex
+from .phrase import Near, Term, fixed_length, variants, wildcard_body, wildcard_regex
 
 MAX_WILDCARD_TERMS = 1000
 #: (field, regular expressions) -> number of different terms of the index that match
@@ -62,33 +63,21 @@ class Compiler:
             raise TooManyTerms("Too many matches for wildcard query, please be more specific.")
         return out
 
-    def test(self, field: str, term: Term, is_first: bool, is_last: bool) -> Callable[[Column], Column]:
-        """Whether a token is the term."""
-        words = self.words(field, term, is_first, is_last)
-        if term.wild:
-            return lambda t: t.rlike("(?s)" + "|".join(map(wildcard_regex, words)))
-        return lambda t: t.isin(words)
-
     def holds(self, field: str, term: Term, is_first: bool, is_last: bool) -> Column:
         tokens = tokens_of(field)
+        words = self.words(field, term, is_first, is_last)
         if term.wild:
-            return F.exists(tokens, self.test(field, term, is_first, is_last))
-        return reduce(or_, [F.array_contains(tokens, w) for w in self.words(field, term, is_first, is_last)])
+            return F.array_join(tokens, " ").rlike(_whole(_either(words)))
+        return reduce(or_, [F.array_contains(tokens, w) for w in words])
 
     def phrase(self, field: str, phrase: Term | Near) -> Column:
         if isinstance(phrase, Term):
             return self.holds(field, phrase, True, True)
         tokens = tokens_of(field)
-        lookups = reduce(and_, [self.holds(field, t, a, b) for t, a, b in _terms(phrase) if not t.wild], F.lit(True))
-        if phrase.gap == 0 and all(isinstance(c, Term) for c in phrase.children):
-            n = len(phrase.children)
-            tests = [self.test(field, c, i == 0, i == n - 1) for i, c in enumerate(phrase.children)]
-
-            def found(x: Column) -> Column:
-                places = F.when(F.size(x) >= n, F.sequence(F.lit(0), F.size(x) - n))
-                return F.exists(places, lambda p: reduce(and_, [t(F.get(x, p + i)) for i, t in enumerate(tests)]))
-
-            return lookups & F.coalesce(let(tokens, found), F.lit(False))
+        lookups = reduce(and_, [self.holds(field, t, a, b) for t, a, b in terms_of(phrase) if not t.wild], F.lit(True))
+        plain = self.plain(field, phrase)
+        if plain is not None:
+            return lookups & F.coalesce(F.when(lookups, F.array_join(tokens, " ")).rlike(_whole(plain)), F.lit(False))
         find = self.spans(field, phrase, True, True)
 
         @F.pandas_udf("boolean")
@@ -97,6 +86,21 @@ class Compiler:
 
         return lookups & matches(F.when(lookups, tokens))
 
+    def plain(self, field: str, phrase: Near) -> str | None:
+        """The phrase as a regular expression, if it is that: words in a row, or two such parts with a gap between
+        them that can't overlap. The nearest pairs of two parts of fixed length are what the span kernel goes
+        through, so that there is a match if any pair is near enough; with three parts it passes some over."""
+        parts = [fixed_length(phrase)] if fixed_length(phrase) else [fixed_length(c) for c in phrase.children]
+        if None in parts or len(parts) > 2:
+            return None
+        at, n, found = 0, sum(map(len, parts)), []
+        for p in parts:
+            found.append([(self.words(field, t, at + i == 0, at + i == n - 1), t.wild) for i, t in enumerate(p)])
+            at += len(p)
+        if len(found) == 2 and not _apart(*found):
+            return None
+        return f"(?: [^ ]++){{0,{phrase.gap}}}? ".join(" ".join(_either(w) for w, _ in p) for p in found)
+
     def count(self, field: str, node: Term | Near, is_first: bool, is_last: bool) -> int:
         """Terms of a part, repeated ones counted again."""
         if isinstance(node, Near):
@@ -127,13 +131,34 @@ class Compiler:
         return spans.near(parts, node.gap)
 
 
-def _terms(node: Term | Near, is_first: bool = True, is_last: bool = True):
+def _either(words: list[str]) -> str:
+    return "(?:" + "|".join(wildcard_body(w, "[^ ]") for w in words) + ")"
+
+
+def _whole(pattern: str) -> str:
+    """The pattern between ends of tokens."""
+    return f"(?<![^ ]){pattern}(?![^ ])"
+
+
+def _apart(left: list[tuple[list[str], bool]], right: list[tuple[list[str], bool]]) -> bool:
+    """Whether no token can belong to both parts."""
+    for some, wild in left:
+        for others, wild_too in right:
+            if wild and wild_too:
+                return False
+            patterns, exact = (some, others) if wild else (others, some)
+            if any(re.fullmatch(wildcard_body(p), w, re.DOTALL) for p in patterns for w in exact):
+                return False
+    return True
+
+
+def terms_of(node: Term | Near, is_first: bool = True, is_last: bool = True):
     if isinstance(node, Term):
         yield node, is_first, is_last
     else:
         last = len(node.children) - 1
         for i, c in enumerate(node.children):
-            yield from _terms(c, i == 0, i == last)
+            yield from terms_of(c, i == 0, i == last)
 
 
 def content_words(node: Group | Leaf) -> tuple[set[str], set[str]]:
@@ -142,7 +167,7 @@ def content_words(node: Group | Leaf) -> tuple[set[str], set[str]]:
     wild: set[str] = set()
     if isinstance(node, Leaf):
         if node.field == "content":
-            for t, _, _ in _terms(node.value):
+            for t, _, _ in terms_of(node.value):
                 (wild if t.wild else words).add(wildcard_regex(t.text) if t.wild else t.text)
     else:
         for occur, n in node.clauses:
