@@ -139,6 +139,20 @@ _wild("last_operator_wins", "c:the +#-c:of", f"SELECT id FROM {_DOCS} WHERE {has
 _wild("quoted_property", '"lang":es', "SELECT " + _DOC_PATH + " AS id FROM documents WHERE lang = 'es'")
 
 
+def _by_terms(name: str, text: str, where: str, **options) -> None:
+    """A search that goes by the store's terms however small the store is."""
+    query(name, f"SELECT id FROM {_DOCS} WHERE {where}")(lambda spark, sf_dir: docs_index(spark, sf_dir, scan_below=0, **options).query(text).select("id"))
+
+
+_by_terms("terms_must_not", "c:(la -und)", f"{has('LA')} AND NOT {has('UND')}")
+_by_terms("terms_should", "#c:la #m:src2", f"{has('LA')} OR source = 'src2'")
+_by_terms("terms_by_folder", "c:the", has("THE"), by_id=0)
+_by_terms("terms_phrase", 'c:"of the * and"', "len(list_filter(generate_series(1, len(tk)), lambda i: tk[i] = 'OF' AND tk[i + 1] = 'THE' AND list_contains(tk[i + 2 : i + 3], 'AND'))) > 0")
+_by_terms("terms_wildcard", "c:u?d", "len(list_filter(tk, lambda t: regexp_full_match(t, 'U.D'))) > 0")
+_by_terms("terms_unknown", "#a:src3 #c:la", f"source = 'src3' OR {has('LA')}")
+_by_terms("terms_nothing", "c:(the zzqzzq)", "false")
+
+
 @query("wildcard_limit", f"SELECT CASE WHEN count(DISTINCT t) > {MAX_WILDCARD_TERMS} THEN 'too many' ELSE 'found' END AS said FROM (SELECT unnest(tk) AS t FROM {_DOCS})")
 def wildcard_limit(spark, sf_dir):
     try:

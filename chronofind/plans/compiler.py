@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
@@ -26,6 +27,29 @@ MAX_WILDCARD_TERMS = 1000
 Dictionary = Callable[[str, list[str]], int]
 
 
+#: Fields whose terms are kept in an inverted index.
+POSTED = ("content", "path", "message", "externals")
+
+
+@dataclass(frozen=True)
+class Has:
+    """One of the words, or a term that one of them stands for, in a field."""
+
+    field: str
+    words: tuple[str, ...]
+    wild: bool
+
+
+@dataclass(frozen=True)
+class All:
+    parts: tuple[Has | All | Any, ...]
+
+
+@dataclass(frozen=True)
+class Any:
+    parts: tuple[Has | All | Any, ...]
+
+
 class TooManyTerms(ValueError):
     pass
 
@@ -40,6 +64,7 @@ class Compiler:
     def __init__(self, dictionary: Dictionary | None = None, strict: bool = False):
         """dictionary: needed for phrases that mix gaps and wildcards; strict: it also bounds wildcards."""
         self.dictionary, self.strict = dictionary, strict
+        self._counts: dict[tuple[str, ...], int] = {}
 
     def predicate(self, node: Group | Leaf) -> Column:
         if isinstance(node, Leaf):
@@ -50,6 +75,18 @@ class Compiler:
         wanted = reduce(and_, must) if must else reduce(or_, should)
         return reduce(and_, [~p for p in must_not], wanted)
 
+    def needs(self, node: Group | Leaf) -> Has | All | Any | None:
+        """What terms an item must hold to be found; None: nothing is known of that."""
+        if isinstance(node, Leaf):
+            if node.field not in POSTED:
+                return None
+            return All(tuple(Has(node.field, tuple(self.words(node.field, t, a, b)), t.wild) for t, a, b in terms_of(node.value)))
+        must, should = ([self.needs(n) for o, n in node.clauses if o == x] for x in ("must", "should"))
+        if must:
+            known = tuple(p for p in must if p is not None)
+            return All(known) if known else None
+        return None if None in should else Any(tuple(should))
+
     def leaf(self, leaf: Leaf) -> Column:
         if leaf.field == "author":
             return F.coalesce(F.col("author") == leaf.value, F.lit(False))
@@ -111,7 +148,9 @@ class Compiler:
             return len(words)
         if self.dictionary is None:
             raise ValueError("a phrase with gaps and wildcards needs the index's terms")
-        return max(1, self.dictionary(field, [wildcard_regex(w) for w in words]))
+        if (field, *words) not in self._counts:  # asked for by the bound, the terms needed and the test
+            self._counts[field, *words] = max(1, self.dictionary(field, [wildcard_regex(w) for w in words]))
+        return self._counts[field, *words]
 
     def spans(self, field: str, node: Term | Near, is_first: bool, is_last: bool) -> spans.Spans:
         if isinstance(node, Term):

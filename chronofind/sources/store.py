@@ -58,7 +58,8 @@ class Store:
             return {"version": 0, "live": {}, "closed": [], "properties": dict(PROPERTIES)}
         return json.loads(self._read(f"manifest/{numbers[-1]}.json"))
 
-    def _put(self, manifest: dict) -> None:
+    def put(self, manifest: dict) -> None:
+        """Commits a manifest with the next version."""
         hidden = self._path(f"{self.root}/manifest/.{uuid.uuid4().hex}")
         out = self._fs.create(hidden)
         out.write(bytearray(json.dumps(manifest).encode()))
@@ -132,23 +133,27 @@ class Store:
         m = self.manifest()
         m["properties"] |= values
         m["version"] += 1
-        self._put(m)
+        self.put(m)
 
-    def _parquet(self, folders: list[str]) -> DataFrame | None:
+    def parquet(self, folders: list[str]) -> DataFrame | None:
         folders = sorted(set(folders))
         if not folders:
             return None
         # the folders are listed one by one; their names are no partitions
         return self.spark.read.option("recursiveFileLookup", True).parquet(*[f"{self.root}/{f}" for f in folders])
 
+    def size(self, folder: str) -> int:
+        """Bytes of a folder."""
+        return self._fs.getContentSummary(self._path(f"{self.root}/{folder}")).getLength()
+
     def live(self, buckets: list[int] | None = None) -> DataFrame | None:
         m = self.manifest()["live"]
-        found = self._parquet([f for b, f in m.items() if buckets is None or int(b) in buckets])
+        found = self.parquet([f for b, f in m.items() if buckets is None or int(b) in buckets])
         return None if found is None else found.drop("bucket")
 
     def items(self) -> DataFrame | None:
         m = self.manifest()
-        parts = [p.drop("bucket") for p in (self._parquet(list(m["live"].values())), self._parquet(m["closed"])) if p is not None]
+        parts = [p.drop("bucket") for p in (self.parquet(list(m["live"].values())), self.parquet(m["closed"])) if p is not None]
         return None if not parts else parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     # writing
@@ -193,19 +198,19 @@ class Store:
             new.filter(F.col("rev_last") != HEAD).drop("bucket").write.parquet(f"{self.root}/{folder}")
             m["closed"].append(folder)
         m["properties"] |= properties or {}
-        self._put(m)
+        self.put(m)
 
     def compact(self, file_rows: int = 1_000_000) -> None:
         """Rewrites closed versions as one folder in path order."""
         m = self.manifest()
-        closed = self._parquet(m["closed"])
+        closed = self.parquet(m["closed"])
         if closed is None or len(m["closed"]) < 2:
             return
         m["version"] += 1
         folder = f"closed/v{m['version']}-{uuid.uuid4().hex[:8]}"
         closed.repartitionByRange("path").sortWithinPartitions("path", "rev_first").write.option("maxRecordsPerFile", file_rows).parquet(f"{self.root}/{folder}")
         m["closed"] = [folder]
-        self._put(m)
+        self.put(m)
 
 
 def open_stores(spark: SparkSession, paths: list[str]) -> list[Store]:

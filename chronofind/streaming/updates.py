@@ -19,6 +19,7 @@ from chronofind.functions.scalars import HEAD
 from chronofind.operators.history import ancestors, expand_deletes, expand_sources, intervals, path_filter
 from chronofind.operators.items import analysed, revision_items
 from chronofind.sources.store import Store
+from chronofind.sources.terms import index_terms
 
 COMMIT_INTERVAL = 1000
 OPTIMIZE = 25
@@ -105,5 +106,6 @@ def run(spark: SparkSession, log: DataFrame, store: Store, checkpoint: str, enri
             apply_batch(store, df, enrich, exclude)
         if optimize and (number + 1) % optimize == 0:
             store.compact()
+            index_terms(store)
 
     return log.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

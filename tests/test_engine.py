@@ -13,10 +13,11 @@ from chronofind.cache import ResultCache
 from chronofind.functions import scalars as S
 from chronofind.operators import highlight, history, rank
 from chronofind.operators.items import analysed, from_properties, indexable
-from chronofind.operators.search import Index
+from chronofind.operators.search import HEAD, Index
 from chronofind.plans.compiler import TooManyTerms
 from chronofind.plans.parser import parse
 from chronofind.sources.store import Locked, Store, open_stores
+from chronofind.sources.terms import StoredIndex, index_terms
 from chronofind.streaming import updates
 
 SF = "/root/testdata/sf0.001"
@@ -207,3 +208,30 @@ def test_entry_without_the_corpus_operators(tmp_path):
     code = "import sys; sys.path.insert(0, '.'); import importlib.util as u; s = u.spec_from_file_location('e', '__spark_entry__.py'); m = u.module_from_spec(s); s.loader.exec_module(m); q = m.queries(); assert 'term_content' in q and not any(k.startswith('op') for k in q) and 'pipeline' not in q; print(len(m.oracle_sql()))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_terms_narrow_a_store_and_follow_its_commits(spark, tmp_path):
+    def put(store, *rows):
+        store.upsert(analysed(spark.createDataFrame(list(rows), "path string, content string, author string, rev_first int, rev_last int")))
+
+    def ask(store, text, first=HEAD, **options):
+        return sorted(r.id for r in StoredIndex(store, scan_below=0, **options).query(text, first).select("id").collect())
+
+    store = Store(spark, f"{tmp_path}/with blank", buckets=4)
+    put(store, ("/a.c", "owl fox", "x", 1, HEAD), ("/b.c", "owl hen", "y", 1, HEAD), ("/c.c", "fox", "x", 1, 2), ("/d.c", None, "x", 1, HEAD))
+    assert ask(store, "c:owl") == ["/a.c@1", "/b.c@1"]  # no terms yet
+    index_terms(store)
+    version = store.manifest()["version"]
+    index_terms(store)
+    assert store.manifest()["version"] == version and StoredIndex(store, scan_below=0).uncovered == []
+    assert ask(store, "c:owl") == ["/a.c@1", "/b.c@1"] and ask(store, "c:fox", 2) == ["/a.c@1", "/c.c@1"]
+    assert ask(store, "c:owl", by_id=1) == ask(store, "c:owl", by_id=0) == ["/a.c@1", "/b.c@1"]
+    # a commit replaces folders: their rows in the table of terms are passed over, the new ones scanned
+    put(store, ("/a.c", "owl fox", "x", 1, 4), ("/a.c", "crow", "x", 5, HEAD))
+    index = StoredIndex(store, scan_below=0)
+    assert index.uncovered and index.covered
+    assert ask(store, "c:owl") == ["/b.c@1"] and ask(store, "c:crow") == ["/a.c@5"] and ask(store, "c:fox", 4) == ["/a.c@1"]
+    assert index.count_terms("content", ["^.*O.*$"]) == 3 and index.count_terms("prop:k", ["^.*$"]) == 0
+    index_terms(store)
+    for text in ("c:(owl -hen)", "#c:crow #a:y", "c:?o*", "c:(crow p:a)"):
+        assert ask(store, text) == sorted(r.id for r in StoredIndex(store).query(text).select("id").collect()), text
