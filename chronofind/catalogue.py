@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from chronofind.functions import scalars as S
 from chronofind.functions.analyzer import path_tokens, simple_tokens
 from chronofind.operators import highlight, history, rank
-from chronofind.operators.items import analysed, indexable
+from chronofind.operators.items import analysed, indexable, prepared
 from chronofind.operators.search import Index, by_path, hits, page, revision_filter
 from chronofind.plans.parser import parse
 from chronofind.sources import export
 from chronofind.sources.store import Store
-from chronofind.sources.terms import StoredIndex, index_terms
+from chronofind.sources.terms import StoredIndex
 from chronofind.streaming import updates
 
 HEAD = S.HEAD
@@ -56,20 +56,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple, Store] = {}
 
 
-def stored_index(spark: SparkSession, sf_dir: str, table: str, rows: Callable[[SparkSession, str], DataFrame], **options) -> StoredIndex:
-    """The index of a table, made when it is first asked in a session and anew when the table's files have changed."""
+def _state(spark: SparkSession, sf_dir: str, table: str) -> tuple:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = [path, *(f.getPath() for f in files.listStatus(path))]
     state = tuple(sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in map(files.getFileStatus, found)))
-    key = (spark.sparkContext.applicationId, table, state)
+    return spark.sparkContext.applicationId, table, state
+
+
+def stored_index(spark: SparkSession, sf_dir: str, table: str, rows: Callable[[SparkSession, str], DataFrame], **options) -> StoredIndex:
+    """The index of a table, made when it is first asked in a session and anew when the table's files have changed; its terms are made
+    when a query first goes by them."""
+    key = _state(spark, sf_dir, table)
     if key not in _STORED:
         store = Store(spark, f"{work_dir(spark)}/{table}", buckets=8)
-        store.upsert(analysed(rows(spark, sf_dir)))
-        index_terms(store)
+        store.upsert(prepared(rows(spark, sf_dir)), persist=False)
         _STORED[key] = store
-    return StoredIndex(_STORED[key], **options)
+    return StoredIndex(_STORED[key], with_terms=True, **options)
 
 
 def docs_index(spark: SparkSession, sf_dir: str, **options) -> Index:

@@ -40,20 +40,28 @@ FIELDS = {"path": "path", "content": "simple", "message": "simple", "externals":
 def analysed(rows: DataFrame, cap: int = MAX_TERMS, kind: Column | None = None, tokenizers: dict[str, str] | None = None) -> DataFrame:
     """Items with ids, lower-cased authors, packed sizes and token arrays. Missing columns become null, missing
     revisions HEAD."""
+    return tokenised(prepared(rows, kind), cap, tokenizers)
+
+
+def prepared(rows: DataFrame, kind: Column | None = None) -> DataFrame:
+    """Items without their token arrays, which take more room than the texts."""
     for name, kind_of in _DEFAULTS.items():
         if name not in rows.columns:
             rows = rows.withColumn(name, (F.lit(HEAD) if name.startswith("rev_") else F.lit(None)).cast(kind_of))
     rows = rows.withColumn("author", F.lower("author")).withColumn("kind", F.lit("item") if kind is None else kind)
     if "id" not in rows.columns:
         rows = rows.withColumn("id", F.when(F.startswith("path", F.lit("$")), F.col("path")).otherwise(F.concat("path", F.lit("@"), F.col("rev_first").cast("string"))))
+    return rows.withColumn("size_packed", F.when(~F.coalesce("is_dir", F.lit(False)), packed_size(F.col("size_bytes"))))
+
+
+def tokenised(rows: DataFrame, cap: int = MAX_TERMS, tokenizers: dict[str, str] | None = None) -> DataFrame:
     return rows.withColumns({
-        "size_packed": F.when(~F.coalesce("is_dir", F.lit(False)), packed_size(F.col("size_bytes"))),
         **{f"{field}_tokens": TOKENIZERS[name](F.col(field), cap) for field, name in (FIELDS | (tokenizers or {})).items()},
         "prop_tokens": F.transform_values(F.coalesce("props", F.create_map().cast("map<string,string>")), lambda _, v: TOKENIZERS["simple"](v, cap)),
     })
 
 
-def revision_items(revisions: DataFrame, cap: int = MAX_TERMS) -> DataFrame:
-    """The items that stand for whole revisions: searchable by author and message."""
+def revision_items(revisions: DataFrame) -> DataFrame:
+    """The items that stand for whole revisions, without tokens: searchable by author and message."""
     rows = revisions.select(F.concat(F.lit("$Revision "), F.col("revision").cast("string")).alias("path"), F.col("revision").cast("int").alias("rev_first"), F.col("revision").cast("int").alias("rev_last"), "author", "ts", "message")
-    return analysed(rows, cap, F.lit("revision"))
+    return prepared(rows, F.lit("revision"))

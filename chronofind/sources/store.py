@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronofind.functions.scalars import HEAD
+from chronofind.operators.items import tokenised
 
 BUCKETS = 64
 PROPERTIES = {"revision": 0, "repository_id": "", "repository_name": "", "repository_local_uri": "", "repository_external_uri": "", "single_revision": False}
@@ -164,14 +165,18 @@ class Store:
     def touched(self, rows: DataFrame) -> list[int]:
         return [r[0] for r in rows.select(self.bucket().alias("b")).distinct().collect()]
 
-    def upsert(self, items: DataFrame, properties: dict | None = None) -> None:
+    def upsert(self, items: DataFrame, properties: dict | None = None, persist: bool = True) -> None:
         """Puts items in, each taking the place of the live one of its id; the ids of closed ones are gone from the live part.
-        With single_revision set, closed versions are dropped instead of kept."""
-        items = items.persist()  # it is read for the buckets, for their live items and for the closed ones
+        With single_revision set, closed versions are dropped instead of kept. Items without tokens are tokenised by the tasks that
+        write them, so that no token is shuffled. persist: they are read for the buckets, for their live items and
+        for the closed ones; a plain scan is better read again."""
+        if persist:
+            items = items.persist()
         try:
             self._upsert(items, properties)
         finally:
-            items.unpersist()
+            if persist:
+                items.unpersist()
             while self._work:
                 self._fs.delete(self._path(self._work.pop()), True)
 
@@ -181,12 +186,13 @@ class Store:
         touched = self.touched(items)
         old = self.live(touched)
         new = items.withColumn("bucket", self.bucket())
-        live = new.filter(F.col("rev_last") == HEAD)
+        finish = (lambda rows: rows) if "content_tokens" in items.columns else tokenised
+        live = finish(_dealt(new.filter(F.col("rev_last") == HEAD)))
         if old is not None:
-            live = live.unionByName(old.join(items.select("id").distinct(), "id", "left_anti").withColumn("bucket", self.bucket()))
+            live = live.unionByName(_dealt(old.join(items.select("id").distinct(), "id", "left_anti").withColumn("bucket", self.bucket()))).sortWithinPartitions("bucket", "path")
         m["version"] += 1
         folder = f"live/v{m['version']}-{uuid.uuid4().hex[:8]}"
-        live.repartition("bucket").sortWithinPartitions("bucket", "path").write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+        live.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
         for b in touched:
             place = f"{folder}/bucket={b}"
             if self._fs.exists(self._path(f"{self.root}/{place}")):
@@ -195,7 +201,7 @@ class Store:
                 m["live"].pop(str(b), None)
         if not single:
             folder = f"closed/v{m['version']}-{uuid.uuid4().hex[:8]}"
-            new.filter(F.col("rev_last") != HEAD).drop("bucket").write.parquet(f"{self.root}/{folder}")
+            finish(new.filter(F.col("rev_last") != HEAD)).drop("bucket").write.parquet(f"{self.root}/{folder}")
             m["closed"].append(folder)
         m["properties"] |= properties or {}
         self.put(m)
@@ -213,6 +219,11 @@ class Store:
         self.put(m)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows by their buckets, in the order of their paths; a large bucket is dealt to several tasks, a file each."""
+    return rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "path")
+
+
 def open_stores(spark: SparkSession, paths: list[str]) -> list[Store]:
     """The stores among the paths, each tried as it is and with `/index`; what can't be opened is passed over."""
     out = []

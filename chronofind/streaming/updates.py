@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chronofind.functions.scalars import HEAD
 from chronofind.operators.history import ancestors, expand_deletes, expand_sources, intervals, path_filter
-from chronofind.operators.items import analysed, revision_items
+from chronofind.operators.items import prepared, revision_items
 from chronofind.sources.store import Store
 from chronofind.sources.terms import index_terms
 
@@ -92,7 +92,7 @@ def apply_batch(store: Store, revisions: DataFrame, enrich: Enrich | None = None
     opened = versions(changes, live)
     if live is not None:  # versions that the batch did not touch stay as they are
         opened = opened.join(live.withColumn("rev_last", F.lit(HEAD)), ["path", "rev_first", "rev_last"], "left_anti")
-    rows = analysed(enrich(opened) if enrich else opened)
+    rows = prepared(enrich(opened) if enrich else opened)
     rows = rows.unionByName(revision_items(revisions), allowMissingColumns=True)
     store.upsert(rows, {"revision": int(last)} | (properties or {}))
     return int(last)

@@ -12,7 +12,7 @@ from chronofind import catalogue, cli, further
 from chronofind.cache import ResultCache
 from chronofind.functions import scalars as S
 from chronofind.operators import highlight, history, rank
-from chronofind.operators.items import analysed, from_properties, indexable
+from chronofind.operators.items import analysed, from_properties, indexable, prepared
 from chronofind.operators.search import HEAD, Index
 from chronofind.plans.compiler import TooManyTerms
 from chronofind.plans.parser import parse
@@ -235,3 +235,40 @@ def test_terms_narrow_a_store_and_follow_its_commits(spark, tmp_path):
     index_terms(store)
     for text in ("c:(owl -hen)", "#c:crow #a:y", "c:?o*", "c:(crow p:a)"):
         assert ask(store, text) == sorted(r.id for r in StoredIndex(store).query(text).select("id").collect()), text
+
+
+def test_terms_are_inverted_where_the_items_lie(spark, tmp_path):
+    rng = random.Random(2)
+    texts = {f"/{i}.c": " ".join(rng.choices(["owl", "fox", "hen", "é", "crow"], k=rng.randint(0, 40))) for i in range(200)}
+    store = Store(spark, str(tmp_path / "index"), buckets=3)
+    store.upsert(prepared(spark.createDataFrame(list(texts.items()), "path string, content string")))
+    index_terms(store)
+    rows = store.parquet([store.manifest()["inverted"][0]["folder"]]).filter("field = 'content'").collect()
+    held = sorted((r.term, i.partition("@")[0]) for r in rows for i in r.ids)
+    assert held == sorted((t, p) for p, text in texts.items() for t in set(text.upper().split()))
+    assert {r.place for r in rows} == set(store.manifest()["live"].values())
+    # a task's rows come in the order of their terms, and a term's items are not spread over a row each
+    assert len(rows) == len({(r.place, r.term) for r in rows}) == 15
+    # terms are made when a query asks for them, not for one that has none
+    other = Store(spark, str(tmp_path / "other"), buckets=3)
+    other.upsert(prepared(spark.createDataFrame(list(texts.items()), "path string, content string")), persist=False)
+    index = StoredIndex(other, scan_below=0, with_terms=True)
+    assert index.query("a:x").count() == 0 and "inverted" not in other.manifest()
+    want = sorted(p for p, text in texts.items() if "owl" in text and "hen" not in text)
+    assert sorted(r.path for r in index.query("c:(owl -hen)").collect()) == want and len(other.manifest()["inverted"]) == 1
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    rng = random.Random(3)
+    rows = spark.createDataFrame([("/one" if i % 10 else f"/{i}", i + 1, rng.randbytes(2000).hex()) for i in range(1000)], "path string, rev_first int, content string").repartition(4)
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "300k")
+    try:
+        store = Store(spark, str(tmp_path / "index"), buckets=4)
+        store.upsert(prepared(rows))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    files = [list((tmp_path / "index" / place).glob("*.parquet")) for place in store.manifest()["live"].values()]
+    assert max(map(len, files)) > 1
+    items = store.items()
+    assert items.count() == 1000 and items.select("id").distinct().count() == 1000 and items.filter("size(content_tokens) = 1").count() == 1000
