@@ -80,6 +80,13 @@ def docs_index(spark: SparkSession, sf_dir: str, **options) -> Index:
     return stored_index(spark, sf_dir, "documents", documents, **options)
 
 
+def docs_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as items, for what reads each of them: those of the index if the session has it, else of the table; to make an
+    index for one reading would write everything once more."""
+    stored = _STORED.get(_state(spark, sf_dir, "documents"))
+    return analysed(documents(spark, sf_dir)) if stored is None else stored.items()
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace("url", r"^[a-z]+://[^/]+", "")
     return read(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), path.alias("path"), F.col("url").alias("externals"), F.col("html").alias("content"))
@@ -272,7 +279,7 @@ def _tfidf(t: str) -> str:
 
 @query("rank_tfidf", f"SELECT id, round(({_tfidf('LA')} + {_tfidf('UND')}) / sqrt(len(tk)), 6) AS score FROM {_DOCS} WHERE {has('LA')} OR {has('UND')}")
 def rank_tfidf(spark, sf_dir):
-    return rank.ranked(docs_index(spark, sf_dir).items, ["LA", "UND"]).select("id", F.round("score", 6).alias("score"))
+    return rank.ranked(docs_items(spark, sf_dir), ["LA", "UND"]).select("id", F.round("score", 6).alias("score"))
 
 
 # hits
@@ -302,7 +309,7 @@ def size_unpack(spark, sf_dir):
 
 @query("hit_projection", f"SELECT id, '/' || source || '/' || lang AS folder, 'doc_' || doc_id || '.txt' AS file, source AS author, 'head' AS rev_first, u AS size_in_bytes, {_shown('u')} AS size FROM (SELECT *, CAST({_UNPACKED} AS BIGINT) AS u FROM {_DOCS})")
 def hit_projection(spark, sf_dir):
-    return hits(docs_index(spark, sf_dir).items).select("id", "folder", "file", "author", "rev_first", "size_in_bytes", "size")
+    return hits(docs_items(spark, sf_dir)).select("id", "folder", "file", "author", "rev_first", "size_in_bytes", "size")
 
 
 @query("pretty_revision", f"SELECT path, rev_first, CASE WHEN rev_last = {HEAD} THEN 'head' ELSE CAST(rev_last AS VARCHAR) END AS last, printf('%08d', rev_first) AS packed FROM {_VERSIONS}")
