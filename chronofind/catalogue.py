@@ -270,7 +270,7 @@ def postings(spark, sf_dir):
 
 @query("term_stats", f"SELECT term, count(DISTINCT id) AS df, count(*) AS tf FROM (SELECT id, unnest(tk) AS term FROM {_DOCS}) GROUP BY term")
 def term_stats(spark, sf_dir):
-    return rank.term_stats(docs_index(spark, sf_dir).items)
+    return rank.term_stats(docs_items(spark, sf_dir))
 
 
 def _tfidf(t: str) -> str:

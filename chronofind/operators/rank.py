@@ -5,35 +5,24 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofind.functions.scalars import let
+from chronofind.operators.grouping import counted, with_positions
 from chronofind.plans.compiler import tokens_of
 
 
-def grouped(tokens: Column) -> Column:
-    """The terms of a token array with their positions in order: array of (term, positions), made inside the row."""
-
-    def cut(placed: Column) -> Column:
-        n = F.size(placed)
-        first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(placed, i)["term"] != F.get(placed, i - 1)["term"]))
-        return let(first, lambda f: F.transform(f, lambda i, k: F.struct(F.get(placed, i)["term"].alias("term"), F.transform(F.slice(placed, i + 1, F.coalesce(F.get(f, k + 1), n) - i), lambda x: x["pos"]).alias("positions"))))
-
-    placed = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    return F.when(F.size(tokens) > 0, let(placed, cut))
-
-
 def postings(items: DataFrame, fields: tuple[str, ...] = ("content", "path", "message", "externals")) -> DataFrame:
-    """(field, term, id, tf, positions): positions in order. Terms are grouped inside their item: nothing is shuffled."""
-    every = [items.select(F.lit(f).alias("field"), "id", F.inline(grouped(tokens_of(f)))) for f in fields]
+    """(field, term, id, tf, positions): positions in order. Terms are grouped batch by batch: nothing is shuffled."""
+    every = [items.select("id", tokens_of(f).alias("tokens")).mapInArrow(with_positions, "term string, id string, positions array<int>").withColumn("field", F.lit(f)) for f in fields]
     return reduce(lambda a, b: a.unionByName(b), every).select("field", "term", "id", F.size("positions").alias("tf"), "positions")
 
 
 def term_stats(items: DataFrame, field: str = "content") -> DataFrame:
     """(term, df, tf): the items that hold a term, and how often it stands; one exchange, of sums by task."""
-    each = items.select(F.inline(grouped(tokens_of(field)))).select("term", F.size("positions").alias("n"))
-    return each.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    each = items.select(tokens_of(field).alias("tokens")).mapInArrow(counted, "term string, df long, tf long")
+    return each.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def ranked(items: DataFrame, terms: list[str], field: str = "content") -> DataFrame:

@@ -272,3 +272,16 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     assert max(map(len, files)) > 1
     items = store.items()
     assert items.count() == 1000 and items.select("id").distinct().count() == 1000 and items.filter("size(content_tokens) = 1").count() == 1000
+
+
+def test_grouping_against_brute_force(spark):
+    rng = random.Random(4)
+    lists = {str(i): rng.choices(["A", "B", "é", "Z_" * 50, "C1"], k=rng.choice([0, 1, 7, 300])) for i in range(60)}
+    items = spark.createDataFrame([(k, v) for k, v in lists.items()] + [("none", None)], "id string, content_tokens array<string>").repartition(3)
+    want = {(t, i, tuple(p for p, x in enumerate(v) if x == t)) for i, v in lists.items() for t in set(v)}
+    got = rank.postings(items, ("content",)).collect()
+    assert {(r.term, r.id, tuple(r.positions)) for r in got} == want and len(got) == len(want) and all(r.tf == len(r.positions) for r in got)
+    stats = {(t, sum(t in v for v in lists.values()), sum(v.count(t) for v in lists.values())) for t in {t for t, _, _ in want}}
+    assert set(map(tuple, rank.term_stats(items).collect())) == stats
+    # no sort of strings and no array function over each token of a row
+    assert "array_sort" not in rank.term_stats(items)._jdf.queryExecution().toString()
