@@ -264,7 +264,7 @@ def term_cap(spark, sf_dir):
 @query("postings", f"""SELECT term, id, CAST(count(*) AS INTEGER) AS tf, string_agg(CAST(pos - 1 AS VARCHAR), ' ' ORDER BY pos) AS positions
 FROM (SELECT id, unnest(tk) AS term, generate_subscripts(tk, 1) AS pos FROM {_DOCS}) GROUP BY term, id""")
 def postings(spark, sf_dir):
-    rows = rank.postings(docs_index(spark, sf_dir).items, ("content",))
+    rows = rank.postings(docs_items(spark, sf_dir), ("content",))
     return rows.select("term", "id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), " ").alias("positions"))
 
 
