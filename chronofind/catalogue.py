@@ -407,12 +407,12 @@ def work_dir(spark: SparkSession) -> str:
 def stream_replay(spark, sf_dir):
     root = work_dir(spark)
     log = event_log(spark, sf_dir).groupBy("revision").agg(F.collect_list(F.struct("change", "path", "is_copy")).alias("changes"))
-    log = log.select("revision", F.lit("").alias("author"), F.lit(None).cast("timestamp").alias("ts"), F.lit("").alias("message"), "changes").persist()
-    half = log.agg(F.max("revision")).first()[0] // 2
-    for part in (log.filter(F.col("revision") <= half), log.filter(F.col("revision") > half)):
-        part.coalesce(1).write.mode("append").parquet(f"{root}/log")
-    log.unpersist()
+    log = log.select("revision", F.lit("").alias("author"), F.lit(None).cast("timestamp").alias("ts"), F.lit("").alias("message"), "changes")
+    half = event_log(spark, sf_dir).agg(F.max("revision")).first()[0] // 2
     store = Store(spark, f"{root}/index", buckets=8)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log")
-    updates.run(spark, stream, store, f"{root}/checkpoint").awaitTermination()
+    # the stream is started again for the second half: what a start finds is one batch, in as many files as tasks wrote it
+    for part in (log.filter(F.col("revision") <= half), log.filter(F.col("revision") > half)):
+        part.write.mode("append").parquet(f"{root}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
+        updates.run(spark, stream, store, f"{root}/checkpoint").awaitTermination()
     return store.items().filter("kind = 'item'").select("path", "rev_first", "rev_last")

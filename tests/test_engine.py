@@ -296,3 +296,26 @@ def test_what_reads_every_document_once_makes_no_index(spark, monkeypatch):
             assert "regexp_extract_all" not in plan, name
         if name == "rank_tfidf":  # once for the counts and once for the scores
             assert plan.count("regexp_extract_all") == 2
+
+
+def test_replay_reads_a_half_in_several_files(spark, monkeypatch):
+    seen = []
+    run = catalogue.updates.run
+
+    def watched(spark, log, *args):
+        seen.append(log)
+        return run(spark, log, *args)
+
+    monkeypatch.setattr(catalogue.updates, "run", watched)
+    wrote = []
+    make = catalogue.work_dir
+    monkeypatch.setattr(catalogue, "work_dir", lambda s: wrote.append(make(s)) or wrote[0])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalogue.QUERIES["stream_replay"](spark, SF)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    files = glob.glob(wrote[0] + "/log/*.parquet")
+    assert len(seen) == 2 and len(files) > 2
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, catalogue.QUERIES["intervals"](spark, SF).collect()))
